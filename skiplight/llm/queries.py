@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 from .fertility import fertility
+from .line_dedup import dedup_lines
 from .mixing import replicate
+from .near_dup import near_duplicates
 from .pieces import encode_pieces
 from .token_blocks import read_tokens, write_tokens
 
@@ -20,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"), {"pieces": PIECES})
 
 
+def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+
+
 def op8_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE)
@@ -41,9 +51,36 @@ def op10_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op2_tokeniser_fertility, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
+QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op5_superminhash, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
 
 ORACLES = {
+    # windows of the production parameters: 3 lines, or fewer that hold 50 words
+    "op1_winnowed_line_dedup": r"""
+WITH raw AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM raw),
+y AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM x),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS n, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS words FROM y WHERE bare <> ''),
+v AS (SELECT *, lead(bare, 1) OVER o AS b2, lead(bare, 2) OVER o AS b3, lead(words, 1) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id, text ORDER BY n)),
+s AS (SELECT doc_id, text, n, CASE WHEN words >= 50 THEN 1 WHEN words + w2 >= 50 THEN 2 WHEN b3 IS NOT NULL THEN 3 END AS size, bare, b2, b3 FROM v),
+k AS (SELECT doc_id, text, n, size, CASE size WHEN 1 THEN [bare] WHEN 2 THEN [bare, b2] ELSE [bare, b2, b3] END AS content FROM s WHERE size IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, n) AS place FROM k),
+gone AS (SELECT DISTINCT doc_id, text, n + i AS n FROM r, range(0, 3) t(i) WHERE place > 1 AND i < size),
+inner_gap AS (SELECT DISTINCT doc_id, text, n + i AS n FROM r, range(0, 2) t(i) WHERE place > 1 AND i < size - 1),
+a AS (SELECT y.doc_id, y.text, y.pos, y.line, y.bare, coalesce(w.n, 0) AS n, max(w.n) OVER (PARTITION BY y.doc_id, y.text ORDER BY y.pos) AS upto FROM y LEFT JOIN w ON w.doc_id = y.doc_id AND w.text = y.text AND w.pos = y.pos),
+b AS (SELECT a.*, CASE WHEN a.bare <> '' THEN g.n IS NOT NULL ELSE i.n IS NOT NULL END AS del FROM a LEFT JOIN gone g ON a.bare <> '' AND g.doc_id = a.doc_id AND g.text = a.text AND g.n = a.n LEFT JOIN inner_gap i ON a.bare = '' AND i.doc_id = a.doc_id AND i.text = a.text AND i.n = a.upto),
+z AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT del), '') AS cleaned, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare <> '' AND del) AS n_removed_lines FROM b GROUP BY doc_id, text)
+SELECT d.doc_id, z.cleaned AS text, coalesce(z.n_lines, 0) AS n_lines, coalesce(z.n_removed_lines, 0) AS n_removed_lines FROM documents d LEFT JOIN z ON z.doc_id IS NOT DISTINCT FROM d.doc_id AND z.text = d.text
+""",
+    "op5_superminhash": r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i : i + 2] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
     "op9_poisson_replication": """
 WITH d AS (SELECT *, coalesce('s' || source, 'null') AS sk, coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) AS ident FROM documents),
 s AS (SELECT sk, sum(coalesce(length(text), 0))::DOUBLE AS size, count(*)::DOUBLE AS n FROM d GROUP BY sk),
