@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality, toxicity
 from .common import scratch
 from .fertility import fertility
 from .line_dedup import dedup_lines
@@ -34,6 +35,25 @@ def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def crc_fold(column: str, parts: int):
+    """crc32 of the id as text, mod ``parts``: the folds of labels."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(parts))
+
+
+def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"), crc_fold("k", 3) != 1)
+    out = quality.score(docs, ranker)
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rank")
+
+
+def op7_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_fold("k", 4) != 2)
+    out = toxicity.score(docs, lexicon)
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "load")
+
+
 def op8_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, BYTE_BPE)
@@ -51,7 +71,7 @@ def op10_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op5_superminhash, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
+QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op5_superminhash, op6_bradley_terry, op7_weighted_lexicon, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
 
 ORACLES = {
     # windows of the production parameters: 3 lines, or fewer that hold 50 words
