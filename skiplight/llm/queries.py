@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
-from .common import scratch
+from . import archives, quality, toxicity
+from .ann import neighbours
+from .common import drop_paths, durable, scratch
 from .fertility import fertility
 from .line_dedup import dedup_lines
 from .mixing import replicate
@@ -31,6 +32,21 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility(table(spark, sf_dir, "documents"), {"pieces": PIECES})
 
 
+def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, warcs = scratch(spark, "arcs"), scratch(spark, "warcs")
+    archives.write_arcs(table(spark, sf_dir, "pages"), arcs)
+    archives.convert_arcs(spark, arcs, warcs)
+    drop_paths(spark, arcs)
+    records = durable(archives.read_warcs(spark, warcs, with_payload=False), "records")
+    responses = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    out = records.join(responses, "refers_to_id", "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+
+
 def op5_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
@@ -71,7 +87,7 @@ def op10_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op5_superminhash, op6_bradley_terry, op7_weighted_lexicon, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
+QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op3_balanced_postings, op4_arc_to_warc, op5_superminhash, op6_bradley_terry, op7_weighted_lexicon, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
 
 ORACLES = {
     # windows of the production parameters: 3 lines, or fewer that hold 50 words
