@@ -59,11 +59,10 @@ def rates(docs: DataFrame, *, source_col: str = "source", text_col: str = "text"
     else:
         given = F.create_map(*(F.lit(x) for k, v in weights.items() for x in (f"s{k}", v))) if weights else F.lit(None).cast("map<string,double>")
         aim = sizes.withColumn("aim", F.element_at(given, F.col("_mix_source")).cast("double"))
-    everything = aim.agg(F.sum("aim").alias("aims"), F.sum("size").alias("everything"))
-    # one row joins every source's row: the product has as many rows as there are sources
-    joined = aim.join(F.broadcast(everything))
-    mix = F.lit(float(total)) if total is not None else F.col("everything")
-    return joined.select("_mix_source", F.coalesce(F.col("aim") / F.col("aims") * mix / size, F.lit(1.0)).alias("rate"))
+    # two sums reach the driver
+    aims, everything = aim.agg(F.sum("aim"), F.sum("size")).first()
+    mix = float(total if total is not None else everything or 0)
+    return aim.select("_mix_source", F.coalesce(F.col("aim") / F.lit(aims or 1.0) * F.lit(mix) / size, F.lit(1.0)).alias("rate"))
 
 
 def replicate(docs: DataFrame, *, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict[str, float] | None = None, temperature: float = 0.7, total: float | None = None, shuffle: bool = True) -> DataFrame:
