@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, PartCache
+from .common import shuffle_partitions
 
 MAGIC = b"RNSB"
 LANES, BLOCK, CHECKPOINT = 64, 65536, 256
@@ -141,7 +141,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     return ids
 
 
-class ChunkTokeniser:
+class ChunkTokeniser(dict):
     """Ids of whole texts by the tokenizers library, remembering the ids of recurring words.
 
     The byte-level pre-tokeniser of this family begins a new pre-token at each single space before a visible
@@ -154,9 +154,11 @@ class ChunkTokeniser:
     ODD_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f"
     MARKS = frozenset(",.;:!?")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
+        super().__init__()
+        self.most, self.older = most, {}
         self.lib = Tokenizer.from_file(path)
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         encode = lambda x: self._pack(self.lib.encode(x, add_special_tokens=False).ids)
@@ -166,7 +168,7 @@ class ChunkTokeniser:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = (chr(256 + i) for i in range(256))
         self.alphabet = {b: chr(b) if b in shown else next(hidden) for b in range(256)}
-        self.cache = PartCache(self._learn)
+        self.model = self.lib.model.tokenize
 
     @staticmethod
     def _pack(ids) -> bytes:
@@ -179,39 +181,40 @@ class ChunkTokeniser:
         odd = any(c in text for c in self.ODD_ASCII) if text.isascii() else self.ODD.search(text)
         return not odd and not any(a in text for a in self.added)
 
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts: one that begins with a line feed as it is, any other after a space."""
-        out, rest, pack, model, known = {}, [], self._pack, self.lib.model.tokenize, self.cache.known
-        marks, alphabet = self.marks, self.alphabet
-        for p in parts:
-            mark = b""
-            word = p
-            if p[-1:] in marks:
-                mark, word = marks[p[-1]], p[:-1]
-            ids = out.get(word) or known.get(word)
-            if ids is None:
-                # one pre-token: letters (of blocks that never change) after a space or a line feed
-                bare = word[1:] if word[:1] == "\n" else word
-                if not bare.isalpha() or max(bare) > "\u024f":
-                    rest.append(p)
-                    continue
-                lead = "" if bare is not word else "\u0120"
-                ids = pack([t.id for t in model(lead + (bare if bare.isascii() else bare.encode().decode("latin-1").translate(alphabet)))])
-                if not lead:
-                    ids = self.feed + ids
-                out[word] = ids
-            out[p] = ids + mark
-        for p, e in zip(rest, self.lib.encode_batch_fast([p[1:] if p[:1] == "\n" else " " + p for p in rest], add_special_tokens=False)):
-            out[p] = self.feed * (p[:1] == "\n") + pack(e.ids)
-        return out
+    def __missing__(self, p: str) -> bytes:
+        """Ids of a part: one that begins with a line feed as it is, any other after a space."""
+        ids = self.older.get(p)
+        if ids is None:
+            mark = self.marks.get(p[-1:])
+            ids = self._ids(p) if mark is None or len(p) < 2 or not p[-2].isalpha() else self[p[:-1]] + mark
+        self[p] = ids
+        return ids
+
+    def _ids(self, p: str) -> bytes:
+        feed = p[:1] == "\n"
+        bare = p[1:] if feed else p
+        # one pre-token: letters (of blocks that never change) after a space or a line feed
+        if bare.isalpha() and max(bare) <= "\u024f":
+            if not bare.isascii():
+                bare = bare.encode().decode("latin-1").translate(self.alphabet)
+            ids = self._pack([t.id for t in self.model(bare if feed else "\u0120" + bare)])
+        else:
+            ids = self._pack(self.lib.encode(bare if feed else " " + bare, add_special_tokens=False).ids)
+        return self.feed + ids if feed else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as unsigned 16-bit integers."""
-        plain = [self._spaced(t) for t in texts]
-        # a line feed is put before each text, and its id dropped again, so that its first word counts as unspaced
-        done = iter(self.cache.join([("\n" + t).replace("\n", " \n").split(" ")[1:] for t, ok in zip(texts, plain) if ok]))
-        skip = len(self.feed)
-        return [next(done)[skip:] if ok else self._pack(self.lib.encode(t, add_special_tokens=False).ids) for t, ok in zip(texts, plain)]
+        out, get, skip = [], self.__getitem__, len(self.feed)
+        for t in texts:
+            if self._spaced(t):
+                # a line feed is put before the text, and its id dropped again, so that its first word is unspaced
+                out.append(b"".join(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:])
+            else:
+                out.append(self._pack(self.lib.encode(t, add_special_tokens=False).ids))
+            if len(self) > self.most:
+                self.older = dict(self)
+                self.clear()
+        return out
 
 
 _tokenisers: dict[str, ChunkTokeniser] = {}
