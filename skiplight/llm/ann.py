@@ -6,7 +6,7 @@ of the longest. A vector is posted to its nearest cluster and, near a boundary,
 is within ``BOUNDARY`` times the nearest's (up to ``REPLICAS``). Centroids are found through an in-memory graph: beam
 search over each centroid's nearest neighbours and a few random links. A query visits lists in order of distance,
 pruned by their distance's ratio to the nearest and by a number; both are calibrated on the sample so that it reaches
-``TARGET`` recall there (neighbours are sparser in a sample, so the whole table does better).
+``TARGET`` recall there, for as many neighbours as the k nearest of all leave in a sample of that size.
 
 Equal vectors are posted once; of each such group only the first k + 1 ids can appear in an answer. Long lists are
 dealt into blocks of about ``BLOCK`` vectors, and each query visits all blocks of its lists. Only the index reaches the
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-SAMPLE, MAX_LISTS, LIST_SIZE = 100_000, 8192, 128
-REPLICAS, BOUNDARY, BLOCK, TARGET = 4, 1.1, 4096, 0.97
-DEGREE, LONG_LINKS, ENTRIES = 24, 8, 32
+SAMPLE, MAX_LISTS, LIST_SIZE, CALIBRATION = 100_000, 8192, 128, 10_000
+REPLICAS, BOUNDARY, BLOCK, TARGET = 4, 1.1, 4096, 0.96
+DEGREE, LONG_LINKS, ENTRIES = 16, 6, 32
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
@@ -102,10 +102,10 @@ class Index:
                 twice = np.zeros(fresh.shape, bool)
                 np.put_along_axis(twice, order[:, 1:], ranked[:, 1:] == ranked[:, :-1], 1)
                 new &= ~twice
-                seen[row, fresh] |= new
                 far = np.full(fresh.shape, np.inf)
                 r, c = np.nonzero(new)
                 f = fresh[r, c]
+                seen[r, f] = True
                 far[r, c] = own[r, 0] + norms[f] - 2 * np.einsum("ij,ij->i", part[r], self.centroids[f])
                 got, d, done = np.concatenate([got, fresh], 1), np.concatenate([d, far], 1), np.concatenate([done, ~new], 1)
                 if got.shape[1] > beam:
@@ -143,11 +143,12 @@ def build(sample: np.ndarray, total: int, k: int) -> Index:
         near[a : a + 1024] = np.argpartition(d, degree - 1, axis=1)[:, :degree]
     index.links = np.concatenate([near, rng.integers(0, n, (n, LONG_LINKS)), ((np.arange(n) + 1) % n)[:, None]], 1)
     # calibration: exact neighbours within the sample against the lists that hold them
-    base = v[rng.permutation(len(v))[:20_000]]
+    base = v[rng.permutation(len(v))[:CALIBRATION]]
     ask = base[:300]
     score = ask @ base.T
     score[np.arange(len(ask)), np.arange(len(ask))] = -np.inf
-    k = min(k, len(base) - 1)
+    # the k nearest of all are about so many of those in the sample
+    k = min(max(3, -(-k * len(base) // total)), len(base) - 1)
     if k < 1:
         return index
     truth = np.argpartition(-score, k - 1, axis=1)[:, :k]
