@@ -19,12 +19,13 @@ document and get the same result; null ids come first; other columns are untouch
 from __future__ import annotations
 
 import re
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, slices
+from .common import WORD, free_prefix, scratch, slices
 
 _word = re.compile(WORD)
 _ENDS = " \t\n\v\f\r"
@@ -58,22 +59,27 @@ def _inverted(x: bytes) -> int:
     return -int.from_bytes(x, "big")
 
 
+#: Bytes of a packed window: first line, last line (big-endian), hash.
+SPAN = 24
+
+
 def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, h, print, at, spans) of every document: its id, text hash, a fingerprint, its line, the windows around it."""
-    span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("hash", pa.binary())]))
+    """(k, h, print, spans) of every document: its id, text hash, a fingerprint, and the packed windows that selected it."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t"):
-                keys, own, out = part.column("k").to_pylist(), part.column("h").to_pylist(), [[], [], [], [], []]
-                for k, h, text in zip(keys, own, part.column("t").to_pylist()):
-                    for mark, at, spans in windows(text or "", window_lines, window_words):
-                        for col, x in zip(out, (k, h, mark, at, [dict(zip(("first", "last", "hash"), s)) for s in spans])):
-                            col.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), span))], names=["k", "h", "print", "at", "spans"])
+            for part in slices(batch, "t", 1 << 20):
+                rows, prints, packed = [], [], []
+                for i, text in enumerate(part.column("t").to_pylist()):
+                    for mark, _, spans in windows(text or "", window_lines, window_words):
+                        rows.append(i)
+                        prints.append(mark)
+                        packed.append(b"".join(struct.pack(">ii", a, b) + x for a, b, x in spans))
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("k").take(at), part.column("h").take(at), pa.array(prints, pa.binary()), pa.array(packed, pa.binary())], names=["k", "h", "print", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "k long, h long, print binary, at int, spans array<struct<first:int,last:int,hash:binary>>")
+    return rows.mapInArrow(run, "k long, h long, print binary, spans binary")
 
 
 def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
@@ -85,7 +91,10 @@ def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int =
     marks.write.parquet(path)
     marks = spark.read.schema(marks.schema).parquet(path)
     often = marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    near = marks.join(often, "print").select("k", "h", F.explode("spans").alias("w")).select("k", "h", "w.*")
+    number = lambda at: F.conv(F.hex(F.substring("span", at, 4)), 16, 10).cast("int")
+    span = F.transform(F.sequence(F.lit(0), (F.octet_length("spans") / SPAN - 1).cast("int")), lambda i: F.substring(F.col("spans"), i * SPAN + 1, F.lit(SPAN)))
+    near = marks.join(often, "print").select("k", "h", F.explode(span).alias("span"))
+    near = near.select("k", "h", number(1).alias("first"), number(5).alias("last"), F.substring("span", 9, 16).alias("hash"))
     # the first place of each window that occurs in more than one; a null id is the least
     place = F.struct(F.coalesce(F.col("k"), F.lit(-(1 << 63))).alias("k"), "h", "first")
     first = near.groupBy("hash").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least < most").select("hash", "least")
@@ -116,16 +125,17 @@ def dedup_lines(docs: DataFrame, *, window_lines: int = 3, window_words: int = 5
     word before, and those deleted)."""
     runs, _ = repeated_runs(docs, window_lines=window_lines, window_words=window_words, id_col=id_col, text_col=text_col)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    keyed = docs.select(*own).withColumn("_ld_k", F.col(id_col).cast("long")).withColumn("_ld_h", F.xxhash64(text_col))
-    found = runs.select(F.col("k").alias("_ld_a"), F.col("h").alias("_ld_b"), "runs").withColumnRenamed("runs", "_ld_runs")
-    joined = keyed.join(found, F.col("_ld_k").eqNullSafe(F.col("_ld_a")) & (F.col("_ld_h") == F.col("_ld_b")), "left")
+    p = free_prefix(own, "_ld_")
+    keyed = docs.select(*own).withColumn(f"{p}k", F.col(id_col).cast("long")).withColumn(f"{p}h", F.xxhash64(text_col))
+    found = runs.select(F.col("k").alias(f"{p}a"), F.col("h").alias(f"{p}b"), F.col("runs").alias(f"{p}runs"))
+    joined = keyed.join(found, F.col(f"{p}k").eqNullSafe(F.col(f"{p}a")) & (F.col(f"{p}h") == F.col(f"{p}b")), "left")
     at = own.index(text_col)
-    lead = joined.select(*own, "_ld_runs")
+    lead = joined.select(*own, f"{p}runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + ", n_lines long, n_removed_lines long"
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 1 << 20):
                 texts, n, removed = [], [], []
                 for text, spans in zip(part.column(at).to_pylist(), part.column(len(own)).to_pylist()):
                     new, lines, gone = without_runs(text or "", [(s["first"], s["last"]) for s in spans or ()])
