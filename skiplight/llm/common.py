@@ -47,6 +47,13 @@ def join_small(df: DataFrame, small: DataFrame, key: str, *, how: str = "left",
     return df.join(F.broadcast(small) if small.count() <= most else small, key, how)
 
 
+def free_prefix(columns: list[str], base: str) -> str:
+    """A prefix that no column begins with, for columns of our own."""
+    while any(c.lower().startswith(base) for c in columns):
+        base += "_"
+    return base
+
+
 def drop_paths(spark: SparkSession, *paths: str) -> None:
     """Delete finished intermediate folders through Hadoop's file system API."""
     jvm = spark._jvm

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_small, shuffle_partitions
+from .common import free_prefix, join_small, shuffle_partitions
 
 #: The largest mean that is inverted at once; and the terms of its table: beyond them less than 2**-60 is left.
 PART, TERMS = 16.0, 96
@@ -73,15 +73,17 @@ def replicate(docs: DataFrame, *, seed: str = "mix-1", id_col: str = "doc_id", s
     rate = rates(docs, source_col=source_col, text_col=text_col, weights=weights, temperature=temperature, total=total)
     parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART).cast("double"))
     rate = rate.select("_mix_source", parts.cast("int").alias("_mix_parts"), poisson_table(F.col("rate") / parts).alias("_mix_cdf"))
-    keyed = docs.withColumn("_mix_source", source_key(source_col))
-    keyed = keyed.withColumn("_mix_ident", F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    rows = join_small(keyed, rate, "_mix_source", how="inner")
-    draws = F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), lambda part: uniform(F.lit(seed), F.col("_mix_ident"), part.cast("string")))
-    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col("_mix_cdf"), lambda c: c <= u)))
+    p = free_prefix(docs.columns, "_mix_")
+    rate = rate.withColumnsRenamed({f"_mix_{c}": f"{p}{c}" for c in ("source", "parts", "cdf")})
+    keyed = docs.withColumn(f"{p}source", source_key(source_col))
+    keyed = keyed.withColumn(f"{p}ident", F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = join_small(keyed, rate, f"{p}source", how="inner")
+    draws = F.transform(F.sequence(F.lit(1), F.col(f"{p}parts")), lambda part: uniform(F.lit(seed), F.col(f"{p}ident"), part.cast("string")))
+    copies = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(F.col(f"{p}cdf"), lambda c: c <= u)))
     own = [c for c in docs.columns if c not in ("replica", "shuffle_key")]
-    rows = rows.select(*own, "_mix_ident", F.posexplode(F.array_repeat(F.lit(0), copies)).alias("_mix_at", "_mix_zero"))
-    rows = rows.withColumn("replica", F.col("_mix_at") + 1)
-    rows = rows.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), "_mix_ident", F.col("replica").cast("string"))), 1, 16))
+    rows = rows.select(*own, f"{p}ident", F.posexplode(F.array_repeat(F.lit(0), copies)).alias(f"{p}at", f"{p}zero"))
+    rows = rows.withColumn("replica", F.col(f"{p}at") + 1)
+    rows = rows.withColumn("shuffle_key", F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), f"{p}ident", F.col("replica").cast("string"))), 1, 16))
     rows = rows.select(*own, "replica", "shuffle_key")
     if not shuffle:
         return rows

@@ -231,5 +231,6 @@ def encode_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", t
 
 def spans(encoded: DataFrame) -> DataFrame:
     """``encoded`` with ``spans``: for each piece a struct (id, begin, end) of source bytes."""
-    begin = F.concat(F.array(F.lit(0)), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
-    return encoded.withColumn("spans", F.transform(F.arrays_zip(F.col("ids").alias("id"), begin.alias("begin"), F.col("ends").alias("end")), lambda s: s).cast("array<struct<id:int,begin:int,end:int>>"))
+    begin = F.slice(F.concat(F.array(F.lit(0)), F.col("ends")), F.lit(1), F.size("ends"))
+    zipped = F.arrays_zip(F.col("ids").alias("id"), begin.alias("begin"), F.col("ends").alias("end"))
+    return encoded.withColumn("spans", zipped.cast("array<struct<id:int,begin:int,end:int>>"))

@@ -1,0 +1,131 @@
+"""SuperMinHash: its estimate, and grouping against brute force."""
+
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from skiplight.llm.near_dup import components, linked, near_duplicates, shingle_sets, super_minhash
+
+
+def sets_of(text, k):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split()
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def brute(rows, k, num, den):
+    """Component by id: rows of one id are one document."""
+    sets = [(i, sets_of(t, k)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if x and y and den * len(x & y) >= num * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return {i: find(i) for i in root}
+
+
+def corpus(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(400)]
+    out = []
+    for _ in range(n):
+        if out and rng.random() < 0.6:
+            t = rng.choice(out).split(" ")
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+                if len(t) > 1:
+                    t[rng.randrange(len(t))] = rng.choice(words)
+            out.append(" ".join(t))
+        else:
+            out.append(" ".join(rng.choices(words, k=rng.choice([1, 2, 4, 30, 80, 150]))))
+    return out
+
+
+@pytest.mark.parametrize("k,num,den", [(3, 85, 100), (5, 80, 100)])
+def test_groups_equal_brute_force(docs_of, k, num, den):
+    texts = corpus(k, 160) + [None, "", "  \n ", "one", "ONE", "Two words", "two WORDS"]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in near_duplicates(docs_of(texts), shingle=k, num=num, den=den).collect()}
+    want = brute(rows, k, num, den)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert all(r["n_shingles"] == len(sets_of(texts[i], k)) and r["kept"] == (want[i] == i) for i, r in got.items())
+
+
+def test_defined_cases(docs_of, spark):
+    long = " ".join(f"x{i}" for i in range(30_000))
+    rows = [(7, "a b c d"), (7, "a b c d"), (3, "A b C d"), (None, "a b c d"), (9, None), (10, ""), (11, long), (12, long + " y"), (20, "p q r s t"), (20, "k l m n o"), (21, "p q r s t"), (22, "k l m n o")]
+    got = sorted(((r[0] is None, r[0] or 0), r[1], r[2], r[3]) for r in near_duplicates(docs_of(rows, extra=["kept", "k", "key", "node"]), shingle=3, num=85).collect())
+    view = [(None if n else i, c, kept) for (n, i), _, c, kept in got]
+    assert view.count((7, 3, False)) == 2 and (3, 3, True) in view and (None, None, True) in view
+    assert (9, 9, True) in view and (10, 10, True) in view and (11, 11, True) in view and (12, 11, False) in view
+    # an id with two texts is one document: it ties both groups together
+    assert view.count((20, 20, True)) == 2 and (21, 20, False) in view and (22, 20, False) in view
+    assert near_duplicates(docs_of([]), shingle=3).collect() == []
+
+
+def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch):
+    import skiplight.llm.near_dup as nd
+
+    monkeypatch.setattr(nd, "CHUNK", 10)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            t[rng.randrange(100)] = f"e{i}-{rng.random()}"
+        texts.append(" ".join(t))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(texts), shingle=3, num=85).collect()}
+    assert got == brute(list(enumerate(texts)), 3, 85, 100)
+
+
+def test_super_minhash_estimates_and_is_independent_of_chunks():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    a, b = np.unique(pool[:2000]), np.unique(pool[1000:])
+    both = np.concatenate([a, b])
+    doc = np.repeat([0, 1], [len(a), len(b)])
+    sig = super_minhash(both, doc, 2, 352)
+    assert abs((sig[0] == sig[1]).mean() - 1 / 3) < 0.1
+    assert (super_minhash(both, doc, 2, 352, at_once=100) == sig).all()
+    # every slot is filled even from one element, with all ranks once
+    one = super_minhash(a[:1], np.zeros(1, int), 1, 352)[0] >> np.uint64(32)
+    assert sorted(one.tolist()) == list(range(352))
+    # a union's signature is the minimum of both
+    union = super_minhash(np.unique(both), np.zeros(len(np.unique(both)), int), 1, 352)[0]
+    assert (union == sig.min(0)).all()
+
+
+def test_shingles_and_links():
+    s, w = shingle_sets(pa.array(["A b  C", "a B\nc", None, "a b", "b a", "é É"]), 3)
+    rows = [s[w == i].tolist() for i in range(6)]
+    assert rows[0] == rows[1] != [] and rows[2] == [] and rows[3] != rows[4] and all(len(r) == 1 for r in rows if r)
+    one, two = np.arange(100, dtype=np.uint64), np.arange(15, 100, dtype=np.uint64)
+    sizes = np.array([100.0, 85.0])
+    assert linked(sizes, [one, two], 85, 100)[0, 1] and not linked(sizes, [one, two], 86, 100)[0, 1]
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    rows, _ = components(spark.createDataFrame(edges, "a long, b long"))
+    got = {r["node"]: r["root"] for r in rows.collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    assert components(spark.createDataFrame([], "a long, b long"))[0].collect() == []
