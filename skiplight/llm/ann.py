@@ -32,6 +32,8 @@ from .common import durable
 SAMPLE, MAX_LISTS, LIST_SIZE, CALIBRATION = 100_000, 8192, 128, 10_000
 REPLICAS, BOUNDARY, BLOCK, TARGET = 4, 1.1, 4096, 0.96
 DEGREE, LONG_LINKS, ENTRIES = 16, 6, 32
+#: Answers that a task holds while it merges those of its lists.
+HELD = 2_000_000
 
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 5) -> np.ndarray:
@@ -170,6 +172,18 @@ def build(sample: np.ndarray, total: int, k: int) -> Index:
     return index
 
 
+def leading(q: np.ndarray, rep: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (score descending, then rep) of each q, without repeated pairs."""
+    order = np.lexsort((rep, -score, q))
+    q, rep, score = q[order], rep[order], score[order]
+    # copies of a vector in several lists have the same score, so repeated pairs are neighbours
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (rep[1:] != rep[:-1])
+    q, rep, score = q[new], rep[new], score[new]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], rep[keep], score[keep]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the rows that take part, without repeated ones."""
     v = F.col(vector_col)
@@ -223,10 +237,11 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str
 
     def scan(batches):
         group, keys, held, base, ask = None, [], [], None, []
+        best: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def answer():
-            nonlocal base, ask
-            out = []
+            nonlocal base, ask, size
             if ask and (held or base is not None):
                 if base is None:
                     base = np.frombuffer(b"".join(held), kind).reshape(len(held), dim).astype(np.float64)
@@ -238,20 +253,27 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str
                 edge = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top]
                 slack = 1e-9 * (np.abs(q) @ np.abs(base).max(0))
                 i, j = np.nonzero(rough >= (edge - slack)[:, None])
-                exact = (q[i] * base[j]).sum(1)
-                order = np.lexsort((ids[j], -exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                keep = place < top
                 names = np.array([x for x, _ in ask])
-                out.append(pa.RecordBatch.from_arrays([pa.array(names[i[keep]], pa.int64()), pa.array(ids[j[keep]], pa.int64()), pa.array(exact[keep])], names=["q", "rep", "score"]))
+                best.append(leading(names[i], ids[j], (q[i] * base[j]).sum(1), k + 1))
+                size += len(best[-1][0])
             ask = []
-            return out
+
+        def merged():
+            """What the task's lists have so far: the best of each query, as the final merge would keep them."""
+            nonlocal size
+            if best:
+                best[:] = [leading(*(np.concatenate(c) for c in zip(*best)), k + 1)]
+                size = len(best[0][0])
+
+        def out():
+            for q, rep, score in best:
+                for a in range(0, len(q), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a : a + (1 << 16)]), pa.array(rep[a : a + (1 << 16)]), pa.array(score[a : a + (1 << 16)])], names=["q", "rep", "score"])
 
         for batch in batches:
             for lst, blk, side, key, raw in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if (lst, blk) != group:
-                    yield from answer()
+                    answer()
                     group, keys, held, base = (lst, blk), [], [], None
                 if side == 0:
                     keys.append(key)
@@ -259,8 +281,16 @@ def neighbours(vectors: DataFrame, is_query: Column, *, k: int = 20, id_col: str
                 else:
                     ask.append((key, raw))
                     if len(ask) == 512:
-                        yield from answer()
-        yield from answer()
+                        answer()
+            if size > HELD:
+                merged()
+                if size > HELD // 2:  # too many queries to hold; the final merge takes care of the rest
+                    yield from out()
+                    best.clear()
+                    size = 0
+        answer()
+        merged()
+        yield from out()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = placed.repartition(n, "list", "block").sortWithinPartitions("list", "block", "side").mapInArrow(scan, "q long, rep long, score double")
