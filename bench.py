@@ -37,10 +37,12 @@ QUERIES = {
 }
 
 
-def timed(df):
+def timed(engine, text):
+    """Seconds, rows and the DataFrame of a statement, from its text to its last row."""
     start = time.perf_counter()
+    df = engine.sql(text)
     rows = df.collect()
-    return time.perf_counter() - start, rows
+    return time.perf_counter() - start, rows, df
 
 
 def main() -> None:
@@ -58,22 +60,16 @@ def main() -> None:
     for name, sql in QUERIES.items():
         text = sql.format(**{t: t for t in tables})
         engine.set_enabled(False)
-        timed(engine.sql(text))
-        off = []
+        timed(engine, text)
+        off, hits = [], []
         for _ in range(ROUNDS):
-            plain = engine.sql(text)
-            took, expected = timed(plain)
+            took, expected, plain = timed(engine, text)
             off.append(took)
         engine.set_enabled(True)
-        begun = time.perf_counter()
-        timed(engine.sql(text))
-        built = time.perf_counter() - begun
-        hits = []
+        built, *_ = timed(engine, text)
         for _ in range(ROUNDS):
-            begun = time.perf_counter()
-            fast = engine.sql(text)
-            got = fast.collect()
-            hits.append(time.perf_counter() - begun)
+            took, got, fast = timed(engine, text)
+            hits.append(took)
         if sorted(map(str, got)) != sorted(map(str, expected)):
             raise AssertionError(f"{name}: rows differ with the cache on")
         before, after = scan_metrics(plain), scan_metrics(fast)
