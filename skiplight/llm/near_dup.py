@@ -8,9 +8,10 @@
 3. Members of a band bucket are tied to the bucket's smallest class (a star, never all pairs). Connected components of
    these ties are the candidate groups: every pair of classes that shares a band is inside one of them.
 4. Each candidate group is verified on full sets: intersection sizes come from a product of membership patterns, and
-   every pair that reaches the similarity links its classes. A group beyond ``CHUNK`` classes or ``CHUNK_SHINGLES``
-   elements is dealt into chunks and each pair of chunks is a group of its own, so no pair is lost and no task holds
-   more than two chunks. Only a spanning forest of the links leaves a task.
+   every pair that reaches the similarity links its classes. A group beyond ``LARGE`` classes (band by band, unlike
+   texts chain together in very large corpora) is verified bucket by bucket instead. Either unit, beyond ``CHUNK``
+   classes or ``CHUNK_SHINGLES`` elements, is dealt into chunks, and each pair of chunks is a unit of its own, so no
+   pair is lost and no task holds more than two chunks. Only a spanning forest of the links leaves a task.
 5. Union-find over the links, as alternating large and small stars, names each component by its smallest id.
 
 With ``BANDS`` bands of ``ROWS`` slots a pair of similarity 0.85 shares no band with a probability of 8e-7, one of 0.8
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .common import drop_paths, durable, mix64, scratch, slices, text_bytes, word_hashes
 
 BANDS, ROWS = 44, 8
-CHUNK, CHUNK_SHINGLES = 1500, 3_000_000
+CHUNK, CHUNK_SHINGLES, LARGE = 1500, 3_000_000, 12_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -214,11 +215,24 @@ def forest(link: np.ndarray, nodes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, *, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each candidate group. groups: (node, root, key, n)."""
-    size = groups.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
+def units_of(groups: DataFrame, banded: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(node, key, n, unit): the units that candidate groups (node, root, key, n) are verified in. A unit is a group's
+    root, or for large groups a band bucket."""
+    large = groups.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > LARGE).select("root")
+    whole = groups.withColumn("unit", F.struct(F.lit(0).alias("kind"), F.col("root").alias("of")))
+    if not large.limit(1).count():
+        return whole.select("node", "key", "n", "unit")
+    own = groups.join(large, "root").select("node", "key", "n")
+    split = banded.join(buckets, "band").select(F.col("rep").alias("node"), "band").join(own, "node").withColumn("unit", F.struct(F.lit(1).alias("kind"), F.col("band").alias("of")))
+    return whole.join(large, "root", "left_anti").select("node", "key", "n", "unit").union(split.select("node", "key", "n", "unit"))
+
+
+def verified_links(docs: DataFrame, units: DataFrame, *, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each unit. units: (node, key, n, unit)."""
+    size = units.groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("elements") / CHUNK_SHINGLES)).cast("int")
-    plan = groups.join(size, "root").select("node", "root", "key", chunks.alias("chunks"))
+    # a class's text is read and cut into shingles once, whatever the number of its units
+    plan = units.join(size, "unit").withColumn("chunks", chunks).groupBy("node", "key").agg(F.collect_list(F.struct("unit", "chunks")).alias("units"))
     text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("t"))
     rows = text.join(plan, "node")
 
@@ -233,13 +247,14 @@ def verified_links(docs: DataFrame, groups: DataFrame, *, shingle: int, num: int
                     with np.errstate(over="ignore"):
                         same = len(own) and mix64(own).sum(dtype=np.uint64).tobytes() + mix64(~own).sum(dtype=np.uint64).tobytes() == key
                     out.append(own.tobytes() if same else None)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("root"), part.column("chunks"), pa.array(out, pa.binary())], names=["node", "root", "chunks", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("units"), pa.array(out, pa.binary())], names=["node", "units", "own"])
 
     # rows of one id with another text than the class's fall away; so do repeated rows
-    members = rows.mapInArrow(sets, "node long, root long, chunks int, own binary").where("own IS NOT NULL")
+    members = rows.mapInArrow(sets, "node long, units array<struct<unit:struct<kind:int,of:long>,chunks:int>>, own binary").where("own IS NOT NULL")
+    members = members.select("node", "own", F.explode("units").alias("u")).select("node", "own", "u.unit.kind", "u.unit.of", "u.chunks")
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = members.withColumn("mine", mine).withColumn("other", other).select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
+    dealt = members.withColumn("mine", mine).withColumn("other", other).select("kind", "of", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
 
     def link(batches):
         group, nodes, own = None, [], []
@@ -253,7 +268,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, *, shingle: int, num: int
         for batch in batches:
             found = []
             for row in batch.to_pylist():
-                now = (row["root"], row["i"], row["j"])
+                now = (row["kind"], row["of"], row["i"], row["j"])
                 if now != group:
                     found += close()
                     group, nodes, own = now, [], []
@@ -264,7 +279,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, *, shingle: int, num: int
 
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return dealt.repartition(int(n), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(link, "a long, b long")
+    return dealt.repartition(int(n), "kind", "of", "i", "j").sortWithinPartitions("kind", "of", "i", "j").mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +293,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     ties = banded.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     groups, held = components(ties)
     groups = groups.join(classes.select(F.col("rep").alias("node"), "key", "n"), "node")
-    roots, found = components(verified_links(docs, groups, shingle=shingle, num=num, den=den, id_col=id_col, text_col=text_col))
+    roots, _ = components(verified_links(docs, units_of(groups, banded, buckets), shingle=shingle, num=num, den=den, id_col=id_col, text_col=text_col))
     drop_paths(spark, held)
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = marked.select("k", "n", "key").join(named, "key", "left")

@@ -70,10 +70,12 @@ def test_defined_cases(docs_of, spark):
     assert near_duplicates(docs_of([]), shingle=3).collect() == []
 
 
-def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch):
+@pytest.mark.parametrize("large", [5, 10**6])
+def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch, large):
     import skiplight.llm.near_dup as nd
 
     monkeypatch.setattr(nd, "CHUNK", 10)
+    monkeypatch.setattr(nd, "LARGE", large)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base)]
