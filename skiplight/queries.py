@@ -110,14 +110,16 @@ def _numbered(table: str, key: str) -> str:
 
 
 def _info(table: str, key: str, match: str, gone: str = "false", extra: int = 0) -> str:
-    """SQL for condition_cache_info: ``gone`` tells groups that were invalidated, ``extra`` the rows inserted since."""
+    """SQL for condition_cache_info: ``gone`` tells groups that were invalidated, ``extra`` the rows inserted since. An entry
+    without groups is gone: all zeros."""
     return f"""
 WITH r AS (SELECT *, rid // 8192 AS g, rid // 512 AS v FROM {_numbered(table, key)}),
 x AS (SELECT DISTINCT g FROM r WHERE {gone}),
 n AS (SELECT count(*) + {extra} AS rows FROM r),
+l AS (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS k FROM r WHERE g NOT IN (SELECT g FROM x)),
 h AS (SELECT g, v FROM r WHERE ({match}) AND g NOT IN (SELECT g FROM x))
-SELECT CAST((SELECT count(DISTINCT g) FROM h) AS INTEGER) AS cached_row_groups, CAST((SELECT (rows + 8191) // 8192 FROM n) AS INTEGER) AS total_row_groups,
-CAST((SELECT count(DISTINCT v) FROM h) AS INTEGER) AS qualifying_vectors, CAST((SELECT (rows + 511) // 512 FROM n) AS INTEGER) AS total_vectors"""
+SELECT CAST((SELECT count(DISTINCT g) FROM h) AS INTEGER) AS cached_row_groups, CAST((SELECT k * ((rows + 8191) // 8192) FROM n, l) AS INTEGER) AS total_row_groups,
+CAST((SELECT count(DISTINCT v) FROM h) AS INTEGER) AS qualifying_vectors, CAST((SELECT k * ((rows + 511) // 512) FROM n, l) AS INTEGER) AS total_vectors"""
 
 
 @query("SELECT rid AS rowid, o_orderkey FROM " + _numbered("orders", "o_orderkey") + " WHERE o_orderkey < 500")
