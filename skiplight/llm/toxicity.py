@@ -113,10 +113,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, labe
     return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "k")
 
 
-def learn_lexicon(sample: DataFrame, *, general: list[str] = GENERAL, least: int = 4, chance: float = 20.0, max_terms: int = MAX_TERMS) -> Lexicon:
+def learn_lexicon(sample: DataFrame, *, general: list[str] = GENERAL, least: int = 4, chance: float = 14.0, sure: float = 0.75, max_terms: int = MAX_TERMS) -> Lexicon:
     """The lexicon of a labelled sample (k, t, y).
 
-    A word enters if it stands in ``least`` toxic documents or more, at least half of the documents that hold it are
+    A word enters if it stands in ``least`` toxic documents or more, a share of ``sure`` of the documents that hold it is
     toxic, and its log-likelihood statistic is ``chance`` or more. Documents of equal text count once.
     """
 
@@ -139,7 +139,7 @@ def learn_lexicon(sample: DataFrame, *, general: list[str] = GENERAL, least: int
     share = n_toxic / n
     b = F.col("d") - F.col("a")
     part = lambda x, rate: F.when(x > 0, x * F.log(x / (F.col("d") * rate))).otherwise(0.0)
-    counts = counts.where((F.col("a") >= least) & (F.col("a") >= 0.5 * F.col("d"))).withColumn("g", 2 * (part(F.col("a"), share) + part(b, 1 - share)))
+    counts = counts.where((F.col("a") >= least) & (F.col("a") >= sure * F.col("d"))).withColumn("g", 2 * (part(F.col("a"), share) + part(b, 1 - share)))
     found = counts.where(F.col("g") >= chance).orderBy(F.desc("g"), "term").limit(max_terms).collect()
     for term, a, d, _ in found:
         weights[term] = max(0.5, math.log((a + 0.5) / (n_toxic + 1)) - math.log((d - a + 0.5) / (n - n_toxic + 1)))
@@ -209,11 +209,12 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, tex
         lex = shared.value
         automaton = lex.automaton()
         for batch in batches:
-            keep = []
-            for t in batch.column(at).to_pylist():
-                total = load(fold(t), automaton) if t else 0.0
-                x = normalised(total, len(_count(t))) if total else 0.0
-                keep.append(score_of(x, lex.slope, lex.intercept) < threshold)
-            yield batch.filter(pa.array(keep))
+            for part in slices(batch, text_col, 1 << 20):
+                keep = []
+                for t in part.column(at).to_pylist():
+                    total = load(fold(t), automaton) if t else 0.0
+                    x = normalised(total, len(_count(t))) if total else 0.0
+                    keep.append(score_of(x, lex.slope, lex.intercept) < threshold)
+                yield part.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
