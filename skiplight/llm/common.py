@@ -139,7 +139,7 @@ class PartCache:
     """Ids of recurring parts of texts. Beyond ``most`` parts it keeps those of the current batch alone: losing a part
     costs time, never a result."""
 
-    def __init__(self, learn, most: int = 500_000):
+    def __init__(self, learn, most: int = 200_000):
         self.learn, self.most, self.known = learn, most, {}
 
     def join(self, cut: list[list[str]]) -> list[bytes]:
