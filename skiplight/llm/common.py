@@ -92,11 +92,24 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, lower: bool, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words in a byte array, and each word's first byte position.
 
-    A word's hash is a keyed polynomial of its bytes, mixed; only A-Z are lowered.
+    A word's hash is a keyed polynomial of its bytes, mixed; only A-Z are lowered. Long arrays are taken in pieces that
+    end before white space, since the work needs many times a piece's bytes.
     """
+    if len(data) > at_once:
+        hashes, firsts, a = [], [], 0
+        while a < len(data):
+            b = min(a + at_once, len(data))
+            while b < len(data) and not (gap := _IS_SPACE[data[b : b + at_once]]).any():
+                b += len(gap)
+            b += int(gap.argmax()) if b < len(data) else 0
+            h, f = word_hashes(data[a:b], lower, b - a)
+            hashes.append(h)
+            firsts.append(f + a)
+            a = b
+        return np.concatenate(hashes), np.concatenate(firsts)
     if lower:
         data = _LOWER[data]
     word = ~_IS_SPACE[data]

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from skiplight.llm.common import word_hashes
 from skiplight.llm.near_dup import components, linked, near_duplicates, shingle_sets, super_minhash
 
 
@@ -105,6 +106,17 @@ def test_super_minhash_estimates_and_is_independent_of_chunks():
     assert (union == sig.min(0)).all()
 
 
+def test_word_hashes_in_pieces():
+    rng = random.Random(8)
+    text = " ".join("ab" * rng.choice([1, 3, 50]) + str(i) for i in range(300)) + "\n\t " + "z" * 500
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = word_hashes(data, True)
+    assert len(whole[0]) == 301 == len(set(whole[0].tolist()))
+    for n in (1, 7, 64, 1000):
+        got = word_hashes(data, True, at_once=n)
+        assert (got[0] == whole[0]).all() and (got[1] == whole[1]).all()
+
+
 def test_shingles_and_links():
     s, w = shingle_sets(pa.array(["A b  C", "a B\nc", None, "a b", "b a", "é É"]), 3)
     rows = [s[w == i].tolist() for i in range(6)]
