@@ -139,12 +139,13 @@ def parse_warc(data: bytes):
         yield headers, data[end + 4 : at]
 
 
-def _write(rows: DataFrame, path: str, separator: str) -> None:
+def _write(rows: DataFrame, path: str, separator: str, level: str = "DEFAULT_COMPRESSION") -> None:
     """Rows of one binary column ``record`` as files; the text sink writes a string's bytes as they are."""
-    rows.select(F.col("record").cast("string").alias("value")).write.option("lineSep", separator).option("compression", "gzip").text(path)
+    values = rows.select(F.col("record").cast("string").alias("value"))
+    values.write.option("lineSep", separator).option("compression", "gzip").option("zlib.compress.level", level).text(path)
 
 
-def write_arcs(pages: DataFrame, path: str, *, version: int | None = None, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
+def write_arcs(pages: DataFrame, path: str, *, version: int | None = None, date: str = "20240101000000", id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", level: str = "DEFAULT_COMPRESSION") -> None:
     """One ARC file per partition of ``pages``; the page id travels as a header of the stored response. Without a
     ``version``, files alternate between the two."""
 
@@ -162,7 +163,7 @@ def write_arcs(pages: DataFrame, path: str, *, version: int | None = None, date:
 
     given = version
     rows = pages.select(F.col(id_col).cast("long").alias("k"), F.col(url_col).cast("string").alias("u"), F.col(payload_col).cast("string").alias("p"))
-    _write(rows.mapInArrow(run, "record binary"), path, ARC_SEPARATOR)
+    _write(rows.mapInArrow(run, "record binary"), path, ARC_SEPARATOR, level)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:

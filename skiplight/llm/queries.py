@@ -38,7 +38,8 @@ def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, warcs = scratch(spark, "arcs"), scratch(spark, "warcs")
-    archives.write_arcs(table(spark, sf_dir, "pages"), arcs)
+    # these archives are read once and deleted
+    archives.write_arcs(table(spark, sf_dir, "pages"), arcs, level="BEST_SPEED")
     archives.convert_arcs(spark, arcs, warcs)
     drop_paths(spark, arcs)
     records = durable(archives.read_warcs(spark, warcs, with_payload=False), "records")
