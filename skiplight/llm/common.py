@@ -80,7 +80,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.ones(1, np.uint64)
+_POWERS = np.ones(0, np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
