@@ -8,8 +8,13 @@ copies, so it can't be missed; runs shorter than any window are not looked for.
 
 Positions are joined on fingerprints that occur more than once. From each such position the match is extended both
 ways, over all windows that selected it: a window belongs to a match if an equal window begins earlier, in ascending
-order of id, text hash and line. The union of matched windows is the set of maximal repeated runs, whichever earlier
-copies they come from; these lines are deleted, with blank lines inside a run. First occurrences stay.
+order of id, text hash and line. Matched lines are deleted, whichever earlier copies they come from, with blank lines
+inside a run. First occurrences stay.
+
+The union of matched windows reaches a run's beginning, but not always its end: after a line that is a window alone,
+the window of the next line may pass the run's end, or the text's. With ``whole_runs`` each window is also followed line
+by line up to where the next window ends (``tails``), and the union is the set of maximal repeated runs that hold a
+window. Without it those last lines stay.
 
 Defined cases: null texts stay null; texts without words are unchanged; a run that repeats inside one document loses its
 later copy (in overlapping copies, all lines but the first window's beginning); rows of equal id and text count as one
@@ -31,8 +36,9 @@ _word = re.compile(WORD)
 _ENDS = " \t\n\v\f\r"
 
 
-def windows(text: str, window_lines: int, window_words: int) -> list[tuple[bytes, int, list[tuple[int, int, bytes]]]]:
-    """The fingerprints of a text: (line hash, position, windows that selected it as (first, last, hash))."""
+def windows(text: str, window_lines: int, window_words: int, whole_runs: bool = False) -> list[tuple[bytes, int, list[tuple[int, int, bytes]]]]:
+    """The fingerprints of a text: (line hash, position, windows that selected it as (first, last, hash)); with
+    ``whole_runs`` also the windows' ``tails``."""
     import xxhash
 
     hashes, words = [], []
@@ -43,6 +49,7 @@ def windows(text: str, window_lines: int, window_words: int) -> list[tuple[bytes
             words.append(len(_word.findall(bare)))
     chosen: dict[int, list[tuple[int, int, bytes]]] = {}
     n, end, held = len(hashes), 0, 0
+    found: list[tuple[int, int, int]] = []
     for first in range(n):
         while end < n and not (end - first >= window_lines or held >= window_words and end > first):
             held += words[end]
@@ -51,10 +58,24 @@ def windows(text: str, window_lines: int, window_words: int) -> list[tuple[bytes
             break
         at = max(range(first, end), key=lambda i: (_inverted(hashes[i]), i))
         chosen.setdefault(at, []).append((first, end - 1, xxhash.xxh3_128_digest(b"".join(hashes[first:end]))))
+        found.append((at, first, end - 1))
         held -= words[first]
+    if whole_runs:
+        for at, first, last in tails(found, n):
+            chosen[at].append((first, last, xxhash.xxh3_128_digest(b"".join(hashes[first : last + 1]))))
     return [(hashes[at], at, w) for at, w in chosen.items()]
 
 
+def tails(found: list[tuple[int, int, int]], n: int):
+    """The spans (at, first, last) that prolong each window of ``found``, of a text of n lines, line by line to the next
+    window's end, or to the text's end after the last. Where a repeated run ends inside the next window, one of them ends
+    with it; where it holds that window too, one spans the gap between both. Ends never go back, so these are no more
+    than the text's lines."""
+    for i, (at, first, last) in enumerate(found):
+        for to in range(last + 1, found[i + 1][2] + 1 if i + 1 < len(found) else n):
+            yield at, first, to
+
+
 def _inverted(x: bytes) -> int:
     return -int.from_bytes(x, "big")
 
@@ -63,7 +84,7 @@ def _inverted(x: bytes) -> int:
 SPAN = 24
 
 
-def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, whole_runs: bool, id_col: str, text_col: str) -> DataFrame:
     """(k, h, print, spans) of every document: its id, text hash, a fingerprint, and the packed windows that selected it."""
 
     def run(batches):
@@ -71,7 +92,7 @@ def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, id_co
             for part in slices(batch, "t", 1 << 20):
                 rows, prints, packed = [], [], []
                 for i, text in enumerate(part.column("t").to_pylist()):
-                    for mark, _, spans in windows(text or "", window_lines, window_words):
+                    for mark, _, spans in windows(text or "", window_lines, window_words, whole_runs):
                         rows.append(i)
                         prints.append(mark)
                         packed.append(b"".join(struct.pack(">ii", a, b) + x for a, b, x in spans))
@@ -82,12 +103,12 @@ def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, id_co
     return rows.mapInArrow(run, "k long, h long, print binary, spans binary")
 
 
-def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(k, h, runs): for each document with later copies of runs, their windows as (first, last) lines; and the folder
     of fingerprints that it reads."""
     spark = docs.sparkSession
     path = scratch(spark, "fingerprints")
-    marks = fingerprints(docs, window_lines=window_lines, window_words=window_words, id_col=id_col, text_col=text_col)
+    marks = fingerprints(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, id_col=id_col, text_col=text_col)
     marks.write.parquet(path)
     marks = spark.read.schema(marks.schema).parquet(path)
     often = marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
@@ -120,10 +141,10 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]
     return "\n".join(kept), n + 1, len(gone)
 
 
-def dedup_lines(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs deleted from the text; adds ``n_lines`` and ``n_removed_lines`` (lines with a
-    word before, and those deleted)."""
-    runs, _ = repeated_runs(docs, window_lines=window_lines, window_words=window_words, id_col=id_col, text_col=text_col)
+    word before, and those deleted). ``whole_runs`` deletes each run to its very end."""
+    runs, _ = repeated_runs(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, id_col=id_col, text_col=text_col)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     p = free_prefix(own, "_ld_")
     keyed = docs.select(*own).withColumn(f"{p}k", F.col(id_col).cast("long")).withColumn(f"{p}h", F.xxhash64(text_col))

@@ -1,6 +1,7 @@
 import random
 import re
 
+from corpus_pipeline import line_dedup_stage
 from skiplight.llm.line_dedup import dedup_lines, windows
 
 
@@ -62,3 +63,49 @@ def test_windows_are_winnowed():
     marks = windows(text, 3, 50)
     assert sum(len(w) for _, _, w in marks) == 198 and len(marks) < 130  # about two in four lines are selected
     assert windows("a\nb", 3, 50) == [] and len(windows(" ".join("x" * 50), 3, 50)) == 1
+
+
+def brute_runs(rows):
+    """Texts after deleting every maximal run that holds a window and that an earlier equal one precedes: each pair of
+    equal windows is extended line by line to both sides."""
+    texts = [(i, text.split("\n")) for i, text in sorted(rows)]
+    held = [(i, [n for n, x in enumerate(lines) if x.strip()], [x.strip() for x in lines if x.strip()]) for i, lines in texts]
+    seen, out = {}, {}
+    for d, (i, at, bare) in enumerate(held):
+        gone = set()
+        for a in range(len(bare)):
+            for b in range(a, len(bare)):
+                if b - a >= 2 or sum(len(x.split()) for x in bare[a : b + 1]) >= 50:
+                    run = tuple(bare[a : b + 1])
+                    for e, q in seen.setdefault(run, []):
+                        other, x, y = held[e][2], 0, b - a
+                        while min(a, q) + x > 0 and bare[a + x - 1] == other[q + x - 1]:
+                            x -= 1
+                        while a + y + 1 < len(bare) and q + y + 1 < len(other) and bare[a + y + 1] == other[q + y + 1]:
+                            y += 1
+                        gone |= set(range(at[a + x], at[a + y] + 1))
+                    seen[run].append((d, a))
+                    break
+        out[i] = "\n".join(x for n, x in enumerate(texts[d][1]) if n not in gone)
+    return out
+
+
+def test_whole_runs_equal_brute_force(docs_of):
+    rng = random.Random(5)
+    lines = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=rng.choice([1, 3, 60]))) for _ in range(30)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 14)))) for i in range(150)]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs_of(rows), whole_runs=True).collect()}
+    assert got == brute_runs(rows) != brute(rows)
+
+
+def test_short_lines_after_a_long_one_go_with_its_run(docs_of):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{long}\n\nb\nc\nd"), (2, f"a\n{long}\n\nb\nc\nd"), (3, f"x\n{long}\n\nb\ny"), (4, f"{long}\nb"), (5, f"b\n{long}")]
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in dedup_lines(docs_of(rows), whole_runs=True).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("", 5), 3: ("x\ny", 2), 4: ("", 2), 5: ("b", 1)}
+
+
+def test_the_pipeline_deletes_whole_runs(spark, docs_of):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"{long}\nb"), (2, f"x\n{long}\nb\ny"), (3, f"{long}\nb")]
+    assert {r["doc_id"]: r["text"] for r in line_dedup_stage(spark, docs_of(rows), "").collect()} == {1: rows[0][1], 2: "x\ny"}
