@@ -2,7 +2,7 @@
 
 1. toxicity: documents whose lexicon score reaches the threshold go; the lexicon is learned from the labelled rows
    outside the fold that is held out for measuring it.
-2. line dedup: later copies of repeated runs of lines are deleted to their ends; a document that loses all its lines goes, every
+2. line dedup: later copies of repeated runs of lines and of sentences are deleted to their ends; a document that loses all its lines goes, every
    other stays, and ``n_chars`` follows the text.
 3. near-duplicates: of each group linked by five-word shingles at 0.8 or more, the document with the smallest id stays.
 4. mixing: documents are repeated by Poisson numbers so that sources meet their target weights, and shuffled.
@@ -31,9 +31,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs, whole_runs=True).where("n_lines = 0 OR n_removed_lines < n_lines")
+    out = dedup_lines(docs, whole_runs=True, sentences=True).where("n_lines = 0 OR n_removed_lines < n_lines")
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        chars = F.when(F.col("n_removed_lines") + F.col("n_cut_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", chars)
     return out.select(*docs.columns)
 

@@ -16,6 +16,10 @@ the window of the next line may pass the run's end, or the text's. With ``whole_
 by line up to where the next window ends (``tails``), and the union is the set of maximal repeated runs that hold a
 window. Without it those last lines stay.
 
+With ``sentences`` lines are also cut at sentence ends, and runs of whole sentences that hold ``window_words`` words are
+found in the same way, wherever lines begin and end. A line that loses only some sentences keeps the others. Passages
+that begin or end inside a sentence lose their whole sentences only, and stay where these hold fewer words.
+
 Defined cases: null texts stay null; texts without words are unchanged; a run that repeats inside one document loses its
 later copy (in overlapping copies, all lines but the first window's beginning); rows of equal id and text count as one
 document and get the same result; null ids come first; other columns are untouched.
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import re
 import struct
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,20 +39,38 @@ from .common import WORD, free_prefix, scratch, slices
 
 _word = re.compile(WORD)
 _ENDS = " \t\n\v\f\r"
+#: White space inside a line that ends a sentence.
+_SENTENCE = re.compile(r"(?<=[.!?…।؟。！？])[ \t\v\f\r]+")
 
 
-def windows(text: str, window_lines: int, window_words: int, whole_runs: bool = False) -> list[tuple[bytes, int, list[tuple[int, int, bytes]]]]:
+def windows(text: str, window_lines: int, window_words: int, whole_runs: bool = False, sentences: bool = False) -> list[tuple[bytes, int, list[tuple[int, int, bytes]]]]:
     """The fingerprints of a text: (line hash, position, windows that selected it as (first, last, hash)); with
-    ``whole_runs`` also the windows' ``tails``."""
+    ``whole_runs`` also the windows' ``tails``. With ``sentences`` also those of windows over sentences, and all
+    positions count sentences."""
+    import xxhash
+
+    lines = [bare for line in text.split("\n") if (bare := line.strip(_ENDS))]
+    hashed = lambda units: [xxhash.xxh3_128_digest(x.encode()) for x in units]
+    counted = lambda units: [len(_word.findall(x)) for x in units]
+    found = _selected(hashed(lines), counted(lines), window_lines, window_words, whole_runs)
+    if not sentences:
+        return [(mark, at, spans) for (mark, at), spans in found.items()]
+    parts = [_SENTENCE.split(x) for x in lines]
+    begin = [0, *accumulate(map(len, parts))]
+    units = [x for part in parts for x in part]
+    both: dict[tuple[bytes, int], dict[tuple[int, int, bytes], None]] = {}
+    for (mark, at), spans in found.items():
+        both.setdefault((mark, begin[at]), {}).update(((begin[a], begin[b + 1] - 1, x), None) for a, b, x in spans)
+    for key, spans in _selected(hashed(units), counted(units), len(units) + 1, window_words, whole_runs).items():
+        both.setdefault(key, {}).update((span, None) for span in spans)
+    return [(mark, at, list(spans)) for (mark, at), spans in both.items()]
+
+
+def _selected(hashes: list[bytes], words: list[int], window_lines: int, window_words: int, whole_runs: bool) -> dict[tuple[bytes, int], list[tuple[int, int, bytes]]]:
+    """The spans by the (hash, position) that they selected."""
     import xxhash
 
-    hashes, words = [], []
-    for line in text.split("\n"):
-        bare = line.strip(_ENDS)
-        if bare:
-            hashes.append(xxhash.xxh3_128_digest(bare.encode()))
-            words.append(len(_word.findall(bare)))
-    chosen: dict[int, list[tuple[int, int, bytes]]] = {}
+    chosen: dict[tuple[bytes, int], list[tuple[int, int, bytes]]] = {}
     n, end, held = len(hashes), 0, 0
     found: list[tuple[int, int, int]] = []
     for first in range(n):
@@ -56,14 +79,11 @@ def windows(text: str, window_lines: int, window_words: int, whole_runs: bool =
             end += 1
         if not (end - first >= window_lines or held >= window_words):
             break
-        at = max(range(first, end), key=lambda i: (_inverted(hashes[i]), i))
-        chosen.setdefault(at, []).append((first, end - 1, xxhash.xxh3_128_digest(b"".join(hashes[first:end]))))
-        found.append((at, first, end - 1))
+        found.append((max(range(first, end), key=lambda i: (_inverted(hashes[i]), i)), first, end - 1))
         held -= words[first]
-    if whole_runs:
-        for at, first, last in tails(found, n):
-            chosen[at].append((first, last, xxhash.xxh3_128_digest(b"".join(hashes[first : last + 1]))))
-    return [(hashes[at], at, w) for at, w in chosen.items()]
+    for at, first, last in chain(found, tails(found, n) if whole_runs else ()):
+        chosen.setdefault((hashes[at], at), []).append((first, last, xxhash.xxh3_128_digest(b"".join(hashes[first : last + 1]))))
+    return chosen
 
 
 def tails(found: list[tuple[int, int, int]], n: int):
@@ -84,7 +104,7 @@ def _inverted(x: bytes) -> int:
 SPAN = 24
 
 
-def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, whole_runs: bool, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, whole_runs: bool, sentences: bool, id_col: str, text_col: str) -> DataFrame:
     """(k, h, print, spans) of every document: its id, text hash, a fingerprint, and the packed windows that selected it."""
 
     def run(batches):
@@ -92,7 +112,7 @@ def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, whole
             for part in slices(batch, "t", 1 << 20):
                 rows, prints, packed = [], [], []
                 for i, text in enumerate(part.column("t").to_pylist()):
-                    for mark, _, spans in windows(text or "", window_lines, window_words, whole_runs):
+                    for mark, _, spans in windows(text or "", window_lines, window_words, whole_runs, sentences):
                         rows.append(i)
                         prints.append(mark)
                         packed.append(b"".join(struct.pack(">ii", a, b) + x for a, b, x in spans))
@@ -103,12 +123,12 @@ def fingerprints(docs: DataFrame, *, window_lines: int, window_words: int, whole
     return rows.mapInArrow(run, "k long, h long, print binary, spans binary")
 
 
-def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, sentences: bool = False, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
     """(k, h, runs): for each document with later copies of runs, their windows as (first, last) lines; and the folder
     of fingerprints that it reads."""
     spark = docs.sparkSession
     path = scratch(spark, "fingerprints")
-    marks = fingerprints(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, id_col=id_col, text_col=text_col)
+    marks = fingerprints(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, sentences=sentences, id_col=id_col, text_col=text_col)
     marks.write.parquet(path)
     marks = spark.read.schema(marks.schema).parquet(path)
     often = marks.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
@@ -124,46 +144,58 @@ def repeated_runs(docs: DataFrame, *, window_lines: int = 3, window_words: int =
     return runs, path
 
 
-def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the lines of ``runs``, its number of lines with a word, and of those deleted."""
+def without_runs(text: str, runs: list[tuple[int, int]], sentences: bool = False) -> tuple[str, int, int, int]:
+    """The text without the lines of ``runs``, its number of lines with a word, of those deleted, and of those that lost
+    some sentences (``runs`` count sentences with ``sentences``)."""
     lines, gone, inner = text.split("\n"), set(), set()
     for a, b in runs:
         gone.update(range(a, b + 1))
         inner.update(range(a, b))
-    kept, n = [], -1
+    kept, at, n, deleted, cut = [], 0, 0, 0, 0
     for line in lines:
-        if line.strip(_ENDS):
+        if bare := line.strip(_ENDS):
             n += 1
-            if n not in gone:
+            ends = [m.span() for m in _SENTENCE.finditer(bare)] if sentences else []
+            stay = [i for i in range(len(ends) + 1) if at + i not in gone]
+            if len(stay) > len(ends):
                 kept.append(line)
-        elif n not in inner:  # blank lines go with the run around them
+            elif stay:
+                cut += 1
+                begin, end = [0, *(b for _, b in ends)], [*(a for a, _ in ends), len(bare)]
+                # each with the white space before it
+                kept.append("".join(bare[end[i - 1] if i > stay[0] else begin[i] : end[i]] for i in stay))
+            else:
+                deleted += 1
+            at += len(ends) + 1
+        elif at - 1 not in inner:  # blank lines go with the run around them
             kept.append(line)
-    return "\n".join(kept), n + 1, len(gone)
+    return "\n".join(kept), n, deleted, cut
 
 
-def dedup_lines(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, window_lines: int = 3, window_words: int = 50, whole_runs: bool = False, sentences: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later repeated runs deleted from the text; adds ``n_lines`` and ``n_removed_lines`` (lines with a
-    word before, and those deleted). ``whole_runs`` deletes each run to its very end."""
-    runs, _ = repeated_runs(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, id_col=id_col, text_col=text_col)
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    word before, and those deleted). ``whole_runs`` deletes each run to its very end;
+    ``sentences`` deletes runs of sentences too and adds ``n_cut_lines`` (lines that lost only some)."""
+    runs, _ = repeated_runs(docs, window_lines=window_lines, window_words=window_words, whole_runs=whole_runs, sentences=sentences, id_col=id_col, text_col=text_col)
+    counts = ["n_lines", "n_removed_lines", *(["n_cut_lines"] if sentences else [])]
+    own = [c for c in docs.columns if c not in counts]
     p = free_prefix(own, "_ld_")
     keyed = docs.select(*own).withColumn(f"{p}k", F.col(id_col).cast("long")).withColumn(f"{p}h", F.xxhash64(text_col))
     found = runs.select(F.col("k").alias(f"{p}a"), F.col("h").alias(f"{p}b"), F.col("runs").alias(f"{p}runs"))
     joined = keyed.join(found, F.col(f"{p}k").eqNullSafe(F.col(f"{p}a")) & (F.col(f"{p}h") == F.col(f"{p}b")), "left")
     at = own.index(text_col)
     lead = joined.select(*own, f"{p}runs")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + ", n_lines long, n_removed_lines long"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + "".join(f", {c} long" for c in counts)
 
     def cut(batches):
         for batch in batches:
             for part in slices(batch, text_col, 1 << 20):
-                texts, n, removed = [], [], []
+                texts, numbers = [], []
                 for text, spans in zip(part.column(at).to_pylist(), part.column(len(own)).to_pylist()):
-                    new, lines, gone = without_runs(text or "", [(s["first"], s["last"]) for s in spans or ()])
-                    texts.append(text if text is None or not gone else new)
-                    n.append(lines)
-                    removed.append(gone)
+                    new, *found = without_runs(text or "", [(s["first"], s["last"]) for s in spans or ()], sentences)
+                    texts.append(text if text is None or not any(found[1:]) else new)
+                    numbers.append(found)
                 columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(own))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*own, "n_lines", "n_removed_lines"])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(c, pa.int64()) for c, _ in zip(zip(*numbers), counts))], names=[*own, *counts])
 
     return lead.mapInArrow(cut, schema)

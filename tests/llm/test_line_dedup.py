@@ -109,3 +109,51 @@ def test_the_pipeline_deletes_whole_runs(spark, docs_of):
     long = " ".join(f"w{i}" for i in range(60))
     rows = [(1, f"{long}\nb"), (2, f"x\n{long}\nb\ny"), (3, f"{long}\nb")]
     assert {r["doc_id"]: r["text"] for r in line_dedup_stage(spark, docs_of(rows), "").collect()} == {1: rows[0][1], 2: "x\ny"}
+
+
+def brute_sentences(texts):
+    """(id, line, sentence) of all sentences in maximal runs of 50 words that an earlier equal one precedes."""
+    flat = [(i, [(n, m, x) for n, line in enumerate(t.split("\n")) for m, x in enumerate(line.split(". "))]) for i, t in sorted(texts)]
+    flat = [(i, [(n, m, x.rstrip(".")) for n, m, x in units]) for i, units in flat]
+    gone = set()
+    for d, (i, u) in enumerate(flat):
+        for e in range(d):
+            v = flat[e][1]
+            for a in range(len(u)):
+                for q in range(len(v)):
+                    y = 0
+                    while a + y < len(u) and q + y < len(v) and u[a + y][2] == v[q + y][2]:
+                        y += 1
+                    if sum(len(x.split()) for _, _, x in u[a : a + y]) >= 50:
+                        gone |= {(i, n, m) for n, m, _ in u[a : a + y]}
+    return gone
+
+
+def test_runs_of_sentences_equal_brute_force():
+    """Sentences that are all different inside a text, dealt over lines anew in each text."""
+    rng = random.Random(3)
+    pool = [" ".join(f"s{i}w{j}" for j in range(rng.choice([3, 12, 30, 60]))) for i in range(40)]
+    texts = []
+    for i in range(40):
+        a = rng.randrange(30)
+        own = [f"own {i}", *pool[a : a + rng.randint(1, 9)], f"end {i}", *pool[: rng.randint(0, min(a, 5))]]
+        texts.append((i, "".join(x + rng.choice([". ", ". ", ".\n"]) for x in own).strip()))
+    want, seen, got = brute_sentences(texts), set(), set()
+    for i, t in texts:
+        spans = [s for _, _, x in windows(t, 10_000, 50, True, True) for s in x]
+        deleted = {n for a, b, x in spans if x in seen for n in range(a, b + 1)}
+        seen |= {x for _, _, x in spans}
+        places = [(i, n, m) for n, line in enumerate(t.split("\n")) for m, _ in enumerate(line.strip().split(". "))]
+        got |= {places[n] for n in deleted}
+    assert got == want and len(got) > 50
+
+
+def test_passages_inside_lines(docs_of):
+    passage = ". ".join(" ".join(f"p{i}q{j}" for j in range(20)) for i in range(3)) + "."
+    rows = [(1, f"One starts here.  {passage} It ends."), (2, f"Two starts.\tAnd goes on. {passage}  It stops so.\nlast"), (3, passage.replace(". ", ".\n\n"))]
+    rows += [(4, f"Four. {passage[:-40]}"), (5, f"begins within {passage}")]
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed_lines"], r["n_cut_lines"]) for r in dedup_lines(docs_of(rows), whole_runs=True, sentences=True).collect()}
+    assert got[1] == (rows[0][1], 1, 0, 0) and got[2] == ("Two starts.\tAnd goes on.  It stops so.\nlast", 2, 0, 1) and got[3] == ("", 3, 3, 0)
+    assert got[4] == (rows[3][1], 1, 0, 0) and got[5] == (rows[4][1], 1, 0, 0)  # their whole sentences hold 40 words
+    out = {r["doc_id"]: r for r in line_dedup_stage(docs_of([]).sparkSession, docs_of(rows), "").collect()}
+    assert out[2]["text"] == got[2][0] and out[2]["n_chars"] == len(got[2][0]) and 3 not in out
