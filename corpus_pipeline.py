@@ -8,7 +8,8 @@
 4. mixing: documents are repeated by Poisson numbers so that sources meet their target weights, and shuffled.
 5. pieces: texts are encoded with their source offsets and decoded again.
 
-Stages 1 to 4 return the columns of documents, in their order; stage 5 returns ids, offsets and decoded texts.
+Stages 1 to 4 return the columns of documents, in their order and with their values, whatever else they are called (only
+text and n_chars change, in stage 2); stage 5 returns ids, offsets and decoded texts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skiplight.llm import toxicity
-from skiplight.llm.common import durable
+from skiplight.llm.common import durable, numbered, place, restored
 from skiplight.llm.line_dedup import dedup_lines
 from skiplight.llm.mixing import replicate
 from skiplight.llm.near_dup import near_duplicates
@@ -31,21 +32,24 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs, whole_runs=True, sentences=True).where("n_lines = 0 OR n_removed_lines < n_lines")
+    out = numbered(dedup_lines(docs, sentences=True))
+    n = len(docs.columns)
+    lines, removed, chars = (F.col(f"c{n + i}") for i in range(3))
+    out = out.where((lines == 0) | (removed < lines))
     if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed_lines") + F.col("n_cut_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", chars)
-    return out.select(*docs.columns)
+        own = place(docs, "n_chars")
+        out = out.withColumn(own, F.when(chars > 0, F.length(place(docs, "text")).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own)))
+    return restored(out, docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_duplicates(docs, shingle=5, num=80, den=100)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    return restored(numbered(docs).join(gone, F.col(place(docs, "doc_id")).cast("long") == F.col("gone"), "left_anti"), docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return replicate(docs).select(*docs.columns)
+    return restored(numbered(replicate(docs)), docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a folder of our own where that is unset and the
+    master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dir:
             _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="skiplight-")
@@ -47,11 +51,38 @@ def join_small(df: DataFrame, small: DataFrame, key: str, *, how: str = "left",
     return df.join(F.broadcast(small) if small.count() <= most else small, key, how)
 
 
-def free_prefix(columns: list[str], base: str) -> str:
-    """A prefix that no column begins with, for columns of our own."""
-    while any(c.lower().startswith(base) for c in columns):
-        base += "_"
-    return base
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: whatever they are called, columns of our own don't clash with them."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What ``numbered`` calls a column: the one of exactly this name, or else that of the same letters in any case."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name}")
+    return f"c{found[0]}"
+
+
+def restored(df: DataFrame, like: DataFrame, *more: str) -> DataFrame:
+    """``df``, which has the columns of ``numbered(like)`` and then ``more`` of ours, under the names of ``like``; ours
+    get underscores after their names where an input column has that name, in any case."""
+    taken = {c.lower() for c in like.columns}
+    names = []
+    for name in more:
+        while name.lower() in taken:
+            name += "_"
+        names.append(name)
+        taken.add(name.lower())
+    return df.select(*numbered(like).columns, *more).toDF(*like.columns, *names)
+
+
+def small_batches(spark: SparkSession, most_bytes: int = 8 << 20) -> None:
+    """Have the session send at most about ``most_bytes`` to Python at once: whole texts go there, and several batches
+    stand in memory on both sides of the pipe. A smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d+", spark.conf.get(key))[0]) not in range(1, most_bytes):
+        spark.conf.set(key, str(most_bytes))
 
 
 def drop_paths(spark: SparkSession, *paths: str) -> None:

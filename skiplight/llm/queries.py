@@ -91,21 +91,22 @@ def op10_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op3_balanced_postings, op4_arc_to_warc, op5_superminhash, op6_bradley_terry, op7_weighted_lexicon, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}
 
 ORACLES = {
-    # windows of the production parameters: 3 lines, or fewer that hold 50 words
+    # all spans that hold one window of the production parameters (3 lines, or fewer that hold 50 words) and end before
+    # the next window's end or with it: their union is the set of maximal repeated runs of at least a window
     "op1_winnowed_line_dedup": r"""
 WITH raw AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 x AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM raw),
 y AS (SELECT *, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM x),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS n, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS words FROM y WHERE bare <> ''),
-v AS (SELECT *, lead(bare, 1) OVER o AS b2, lead(bare, 2) OVER o AS b3, lead(words, 1) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id, text ORDER BY n)),
-s AS (SELECT doc_id, text, n, CASE WHEN words >= 50 THEN 1 WHEN words + w2 >= 50 THEN 2 WHEN b3 IS NOT NULL THEN 3 END AS size, bare, b2, b3 FROM v),
-k AS (SELECT doc_id, text, n, size, CASE size WHEN 1 THEN [bare] WHEN 2 THEN [bare, b2] ELSE [bare, b2, b3] END AS content FROM s WHERE size IS NOT NULL),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY pos) AS n, len(regexp_extract_all(bare, '[^\x20\x09-\x0D]+')) AS words FROM y WHERE bare <> ''),
+d AS (SELECT doc_id, text, list(bare ORDER BY n) AS bares, list(pos ORDER BY n) AS ats, count(*) AS units FROM u GROUP BY doc_id, text),
+v AS (SELECT *, lead(words, 1) OVER o AS w2, lead(n, 2) OVER o AS n3 FROM u WINDOW o AS (PARTITION BY doc_id, text ORDER BY n)),
+s AS (SELECT doc_id, text, n, CASE WHEN words >= 50 THEN n WHEN words + w2 >= 50 THEN n + 1 ELSE n3 END AS last FROM v),
+t AS (SELECT *, lead(last) OVER (PARTITION BY doc_id, text ORDER BY n) AS upto FROM s WHERE last IS NOT NULL),
+p AS (SELECT doc_id, text, n, unnest(range(last, coalesce(upto, units) + 1)) AS to_n FROM t JOIN d USING (doc_id, text)),
+k AS (SELECT doc_id, text, n, ats[n] AS a, ats[to_n] AS b, bares[n : to_n] AS content FROM p JOIN d USING (doc_id, text)),
 r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, n) AS place FROM k),
-gone AS (SELECT DISTINCT doc_id, text, n + i AS n FROM r, range(0, 3) t(i) WHERE place > 1 AND i < size),
-inner_gap AS (SELECT DISTINCT doc_id, text, n + i AS n FROM r, range(0, 2) t(i) WHERE place > 1 AND i < size - 1),
-a AS (SELECT y.doc_id, y.text, y.pos, y.line, y.bare, coalesce(w.n, 0) AS n, max(w.n) OVER (PARTITION BY y.doc_id, y.text ORDER BY y.pos) AS upto FROM y LEFT JOIN w ON w.doc_id = y.doc_id AND w.text = y.text AND w.pos = y.pos),
-b AS (SELECT a.*, CASE WHEN a.bare <> '' THEN g.n IS NOT NULL ELSE i.n IS NOT NULL END AS del FROM a LEFT JOIN gone g ON a.bare <> '' AND g.doc_id = a.doc_id AND g.text = a.text AND g.n = a.n LEFT JOIN inner_gap i ON a.bare = '' AND i.doc_id = a.doc_id AND i.text = a.text AND i.n = a.upto),
-z AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT del), '') AS cleaned, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare <> '' AND del) AS n_removed_lines FROM b GROUP BY doc_id, text)
+gone AS (SELECT DISTINCT doc_id, text, unnest(range(a, b + 1)) AS pos FROM r WHERE place > 1),
+z AS (SELECT doc_id, text, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.pos IS NULL), '') AS cleaned, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare <> '' AND g.pos IS NOT NULL) AS n_removed_lines FROM y LEFT JOIN gone g USING (doc_id, text, pos) GROUP BY doc_id, text)
 SELECT d.doc_id, z.cleaned AS text, coalesce(z.n_lines, 0) AS n_lines, coalesce(z.n_removed_lines, 0) AS n_removed_lines FROM documents d LEFT JOIN z ON z.doc_id IS NOT DISTINCT FROM d.doc_id AND z.text = d.text
 """,
     "op5_superminhash": r"""

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, slices
+from .common import WORD, durable, numbered, place, restored, slices, small_batches
 
 MAX_LABELLED, MAX_TERMS = 40_000, 4_000
 
@@ -39,10 +40,13 @@ GENERAL_WEIGHT = 3.0
 #: Look-alikes of Latin letters in Cyrillic and Greek, and signs that stand for letters.
 LOOKALIKES = {"а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ꜱ": "s"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
-SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t", "*": ""}
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "+": "t"}
 
-_table = str.maketrans(LOOKALIKES | DIGITS | {"l": "i"} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {c: "" for c in "​‌‍⁠­﻿"})
-_ascii_table = str.maketrans(DIGITS | {"l": "i"})
+VOWELS = "aeiouáéíóúäöüàèìòùâêîôû"
+
+_gaps = dict.fromkeys("\t\n\v\f\r", " ")
+_table = str.maketrans(LOOKALIKES | DIGITS | _gaps | {"l": "i", "\u00a0": " "} | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {c: "" for c in "​‌‍⁠­﻿"})
+_ascii_table = str.maketrans(DIGITS | _gaps | {"l": "i"})
 _signs = re.compile(r"(?<=[^\W_])[@$!|€+]+(?=[^\W_])")
 _any_sign = re.compile(r"[^\W_][@$!|€+]")
 _words = re.compile(r"[^\W_]+").findall
@@ -50,14 +54,24 @@ _count = re.compile(WORD).findall
 
 
 def fold(text: str) -> str:
-    """The folded text. ``l``, ``i`` and ``1`` are one letter: a 1 can stand for either."""
+    """The folded text, runs of white space as single spaces. ``l``, ``i`` and ``1`` are one letter: a 1 can stand for
+    either."""
     text = text.lower()
     text = text.translate(_ascii_table) if text.isascii() else text.translate(_table)
     if _any_sign.search(text):
         text = _signs.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
+    while "  " in text:
+        text = text.replace("  ", " ")
     return text
 
 
+def masked(term: str) -> set[str]:
+    """A folded term and its spellings with an asterisk for one inner vowel, or for all."""
+    inner = [i for i, c in enumerate(term) if 0 < i < len(term) - 1 and c in VOWELS]
+    one = {term[:i] + "*" + term[i + 1 :] for i in inner}
+    return {term, *one, "".join("*" if i in inner else c for i, c in enumerate(term))}
+
+
 @dataclass
 class Lexicon:
     """Folded terms with weights, folded exception phrases, and the curve's slope and intercept."""
@@ -72,7 +86,8 @@ class Lexicon:
 
         out = ahocorasick.Automaton()
         for term, weight in self.terms.items():
-            out.add_word(term, (len(term), weight))
+            for spelling in masked(term) - (self.terms.keys() - {term}):
+                out.add_word(spelling, (len(spelling), weight))
         for phrase in self.exceptions:
             p = fold(phrase)
             out.add_word(p, (len(p), None))
@@ -81,7 +96,8 @@ class Lexicon:
 
 
 def load(folded: str, automaton) -> float:
-    """The sum of the weights of whole-word matches outside exception phrases."""
+    """The sum of the weights of whole-word matches outside exception phrases; the time is linear in the text and its
+    matches, but for sorting these."""
     hits, safe, n = [], [], len(folded)
     for last, (size, weight) in automaton.iter(folded):
         first = last - size + 1
@@ -91,7 +107,19 @@ def load(folded: str, automaton) -> float:
             safe.append((first, last))
         else:
             hits.append((first, last, weight))
-    return sum(w for a, b, w in hits if not any(x <= a and b <= y for x, y in safe))
+    if safe:
+        # a hit is safe if one of the phrases that begin no later ends no earlier
+        safe.sort()
+        hits.sort()
+        outside, at, reach = [], 0, -1
+        for first, last, weight in hits:
+            while at < len(safe) and safe[at][0] <= first:
+                reach = max(reach, safe[at][1])
+                at += 1
+            if last > reach:
+                outside.append(weight)
+        return math.fsum(outside)
+    return math.fsum(w for _, _, w in hits)
 
 
 def normalised(total: float, n_words: int) -> float:
@@ -103,14 +131,17 @@ def score_of(x: float, slope: float, intercept: float) -> float:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, allowed: Column, *, label_col: str, most: int, id_col: str, text_col: str) -> DataFrame:
-    """(k, t, y) of at most ``most`` labelled rows that ``allowed`` (an expression over column k) admits.
+    """(k, t, y) of at most ``most`` labelled documents that ``allowed`` (an expression over column k) admits, written to
+    the shared folder. Rows of equal id and text are one document, so the bound holds for rows.
 
     Labels with a null id or label don't count; of several labels of one id the largest does."""
-    rows = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & allowed)
-    rows = rows.groupBy("k").agg(F.max("y").alias("y"))
-    # at most ``most`` rows of two numbers: bounded, so it may be broadcast
-    chosen = rows.orderBy(F.xxhash64("k"), "k").limit(most)
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(chosen), "k")
+    marks = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & allowed)
+    # at most ``most`` rows of a few numbers: bounded, so they may be broadcast
+    chosen = F.broadcast(marks.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most))
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.md5(F.coalesce("t", F.lit(""))))
+    pairs = texts.join(chosen, "k").select("k", "h").distinct().orderBy(F.xxhash64("k"), "k", "h").limit(most)
+    rows = texts.join(F.broadcast(pairs), ["k", "h"]).groupBy("k", "h").agg(F.first("t").alias("t")).join(chosen, "k")
+    return durable(rows.select("k", "t", "y"), "labelled")
 
 
 def learn_lexicon(sample: DataFrame, *, general: list[str] = GENERAL, least: int = 4, chance: float = 14.0, sure: float = 0.75, max_terms: int = MAX_TERMS) -> Lexicon:
@@ -148,6 +179,7 @@ def learn_lexicon(sample: DataFrame, *, general: list[str] = GENERAL, least: int
 
 def loads(docs: DataFrame, lexicon: Lexicon, *, columns: list[str]) -> DataFrame:
     """(columns..., x): the normalised load of text column t."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     schema = T.StructType([*(docs.schema[c] for c in columns), T.StructField("x", T.DoubleType())])
 
@@ -200,21 +232,20 @@ def score(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows whose score reaches ``threshold``; columns are kept as they are."""
-    own = list(docs.columns)
+    """``docs`` without rows whose score reaches ``threshold``; columns are kept as they are. Only texts go to Python."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    at = own.index(text_col)
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lex = shared.value
         automaton = lex.automaton()
-        for batch in batches:
-            for part in slices(batch, text_col, 1 << 20):
-                keep = []
-                for t in part.column(at).to_pylist():
-                    total = load(fold(t), automaton) if t else 0.0
-                    x = normalised(total, len(_count(t))) if total else 0.0
-                    keep.append(score_of(x, lex.slope, lex.intercept) < threshold)
-                yield part.filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+        for texts in batches:
+            out = []
+            for t in texts:
+                t = t.as_py()
+                total = load(fold(t), automaton) if t else 0.0
+                out.append(score_of(normalised(total, len(_count(t))) if total else 0.0, lex.slope, lex.intercept))
+            yield pa.array(out, pa.float64())
+
+    return restored(numbered(docs).where(scores(F.col(place(docs, text_col)).cast("string")) < threshold), docs)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -12,8 +13,6 @@ def docs_of(spark):
     def make(texts, extra=None):
         rows = [x if isinstance(x, tuple) else (i, x) for i, x in enumerate(texts)]
         out = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", None if t is None else len(t)) for i, t in rows], DOCS)
-        for c in extra or ():
-            out = out.selectExpr("*", f"'x' AS `{c}`")
-        return out
+        return out.select("*", *(F.lit("x").alias(c) for c in extra or ()))
 
     return make

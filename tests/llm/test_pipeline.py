@@ -79,12 +79,14 @@ def test_run_equals_its_stages(spark, corpus):
 
 def test_an_empty_table_and_clashing_columns(spark, corpus):
     d, _ = corpus
-    docs = spark.read.parquet(f"{d}/documents.parquet").selectExpr("*", "'x' AS kept", "'y' AS n_lines", "1 AS replica", "'z' AS k")
+    own = {"kept": F.lit("x"), "N_Lines": F.lit("y"), "replica": F.lit("mine"), "k": F.lit("z"), "a.b": F.lit("w"), "back`tick": F.lit("v"), "c0": F.struct(F.lit(1).alias("x y"))}
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("*", *(c.alias(n) for n, c in own.items()))
     for rows in (docs, docs.limit(0)):
         out = rows
         for name, stage in P.STAGES[:-1]:
             out = durable(stage(spark, out, d), name)
-            assert out.columns == rows.columns
+            assert out.columns == rows.columns and out.dtypes == rows.dtypes
+            assert {tuple(r)[5:] for r in out.collect()} == ({("x", "y", "mine", "z", "w", "v", (1,))} if rows is docs else set())
         assert (P.pieces_stage(spark, out, d).count() == 0) == (rows is not docs)
 
 
