@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, small_batches
 
 MAGIC = b"RNSB"
 LANES, BLOCK, CHECKPOINT = 64, 65536, 256
 STEPS = BLOCK // LANES
+#: Characters that the library gets at once of a long text.
+PIECE = 1 << 17
 SCALE_BITS = 16
 SCALE = 1 << SCALE_BITS
 
@@ -58,7 +60,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
     blocks = -(-total // BLOCK)
     steps = STEPS if blocks > 1 else -(-total // LANES)
-    padded = np.full(blocks * steps * LANES, int(counts.argmax()), np.int64)
+    padded = np.full(blocks * steps * LANES, int(counts.argmax()), np.uint16)
     padded[:total] = ids
     sym = padded.reshape(blocks, steps, LANES)
     x = np.full((blocks, LANES), SCALE, np.uint64)
@@ -123,7 +125,7 @@ def decode_segment(data: bytes) -> np.ndarray:
     ptr = np.stack(pos).reshape(-1)
     run = min(CHECKPOINT, steps)
     left = np.tile(np.minimum(steps - np.arange(n_marks) * CHECKPOINT, run), blocks)
-    got = np.zeros((len(ptr), run, LANES), np.int64)
+    got = np.zeros((len(ptr), run, LANES), np.uint16)
     last = len(words) - 1
     for t in range(run):
         low = x & np.uint64(SCALE - 1)
@@ -134,9 +136,9 @@ def decode_segment(data: bytes) -> np.ndarray:
         where = np.cumsum(need, 1)
         x = np.where(need, (x << np.uint64(16)) | words[np.minimum(ptr[:, None] + where - 1, last)], x)
         ptr = ptr + where[:, -1]
-    ids = used[got].reshape(blocks, n_marks * run, LANES)[:, :steps].reshape(-1)[:total]
+    ids = used.astype("<u4")[got].reshape(blocks, n_marks * run, LANES)[:, :steps].reshape(-1)[:total]
     for b, (_, _, crc) in enumerate(lens):
-        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) != crc:
+        if zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].tobytes()) != crc:
             raise ValueError("a block's ids fail their checksum")
     return ids
 
@@ -145,23 +147,33 @@ class ChunkTokeniser(dict):
     """Ids of whole texts by the tokenizers library, remembering the ids of recurring words.
 
     The byte-level pre-tokeniser of this family begins a new pre-token at each single space before a visible
-    character, and takes a line feed between visible characters as a pre-token of its own. Texts whose white space is
-    of these two kinds are cut there; others, and those that hold an added token, go to the library whole.
+    character, and takes a line feed between visible characters as a pre-token of its own. Texts are cut there, and each
+    part is encoded alone. Texts with white space of other kinds or with added tokens go to the library, long ones in
+    pieces that end where a pre-token ends for certain.
+
+    Parts are remembered in two generations of at most ``most`` parts of at most ``LONGEST`` characters each, so a
+    worker holds some 60 MB of them whatever it has read.
     """
 
     #: White space other than the space and the line feed; Python's \s holds all that a tokeniser may take for it.
     ODD = re.compile(r"[^\S \n]")
     ODD_ASCII = "\t\r\v\f\x1c\x1d\x1e\x1f"
     MARKS = frozenset(",.;:!?")
+    LONGEST = 64
+    #: Where a letter or digit ends and white space or a mark begins, a pre-token ends, whatever stands around.
+    SAFE = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n\t,.;:!?()])")
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.most, self.older = most, {}
         self.lib = Tokenizer.from_file(path)
+        if self.lib.get_vocab_size(with_added_tokens=True) > 1 << 16:
+            raise ValueError("ids beyond 16 bits")
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         encode = lambda x: self._pack(self.lib.encode(x, add_special_tokens=False).ids)
+        self.cuttable = not any(self.SAFE.search(a) for a in self.added)
         self.feed = encode("\n")
         self.marks = {m: encode(m) for m in self.MARKS}
         # the byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
@@ -185,36 +197,55 @@ class ChunkTokeniser(dict):
         """Ids of a part: one that begins with a line feed as it is, any other after a space."""
         ids = self.older.get(p)
         if ids is None:
+            # one pre-token: letters (of blocks that never change) after a space or a line feed
             mark = self.marks.get(p[-1:])
-            ids = self._ids(p) if mark is None or len(p) < 2 or not p[-2].isalpha() else self[p[:-1]] + mark
-        self[p] = ids
+            if mark is None or not p[-2:-1].isalpha():
+                ids = self._ids(p)
+            else:
+                bare = p[:-1]
+                ids = (self.get(bare) or self.older.get(bare) or self._ids(bare)) + mark
+        if len(p) <= self.LONGEST:
+            self[p] = ids
         return ids
 
     def _ids(self, p: str) -> bytes:
-        feed = p[:1] == "\n"
-        bare = p[1:] if feed else p
-        # one pre-token: letters (of blocks that never change) after a space or a line feed
-        if bare.isalpha() and max(bare) <= "\u024f":
-            if not bare.isascii():
-                bare = bare.encode().decode("latin-1").translate(self.alphabet)
-            ids = self._pack([t.id for t in self.model(bare if feed else "\u0120" + bare)])
-        else:
-            ids = self._pack(self.lib.encode(bare if feed else " " + bare, add_special_tokens=False).ids)
-        return self.feed + ids if feed else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as unsigned 16-bit integers."""
-        out, get, skip = [], self.__getitem__, len(self.feed)
-        for t in texts:
-            if self._spaced(t):
-                # a line feed is put before the text, and its id dropped again, so that its first word is unspaced
-                out.append(b"".join(map(get, ("\n" + t).replace("\n", " \n").split(" ")[1:]))[skip:])
-            else:
-                out.append(self._pack(self.lib.encode(t, add_special_tokens=False).ids))
+        if p.isalpha():
+            if p.isascii():
+                return array("H", [t.id for t in self.model("\u0120" + p)]).tobytes()
+            if max(p) <= "\u024f":
+                return array("H", [t.id for t in self.model("\u0120" + p.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        elif p[:1] == "\n":
+            bare = p[1:]
+            if bare.isalpha() and bare.isascii():
+                return self.feed + array("H", [t.id for t in self.model(bare)]).tobytes()
+            return self.feed + self._pack(self.lib.encode(bare, add_special_tokens=False).ids)
+        return self._pack(self.lib.encode(" " + p, add_special_tokens=False).ids)
+
+    def _by_parts(self, text: str) -> bytes:
+        # a line feed is put before the text, and its id dropped again, so that its first word is unspaced
+        parts = ("\n" + text).replace("\n", " \n").split(" ")[1:]
+        out = []
+        for a in range(0, len(parts), PIECE):
+            out.append(b"".join(map(self.__getitem__, parts[a : a + PIECE])))
             if len(self) > self.most:
                 self.older = dict(self)
                 self.clear()
-        return out
+        return b"".join(out)[len(self.feed) :]
+
+    def _whole(self, text: str) -> bytes:
+        """A text of any kind; long ones are cut at ``SAFE`` places, so the library gets about ``PIECE`` characters at
+        once, or a longer run that has no such place."""
+        out, at = [], 0
+        if len(text) > PIECE and self.cuttable:
+            for m in self.SAFE.finditer(text):
+                if m.start() - at >= PIECE:
+                    out.append(self._pack(self.lib.encode(text[at : m.start()], add_special_tokens=False).ids))
+                    at = m.start()
+        return b"".join([*out, self._pack(self.lib.encode(text[at:], add_special_tokens=False).ids)])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """For each text its ids as unsigned 16-bit integers."""
+        return [self._by_parts(t) if self._spaced(t) else self._whole(t) for t in texts]
 
 
 _tokenisers: dict[str, ChunkTokeniser] = {}
@@ -230,11 +261,12 @@ def tokeniser(path: str) -> ChunkTokeniser:
 _SEGMENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_tokens: int = 2_000_000, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_tokens: int = 1_000_000, partitions: int | None = None) -> None:
     """Tokenise ``docs`` and write their ids in ascending id order as segments under ``path``.
 
     A text whose ids alone exceed a segment makes a segment of its own size.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches):
         shard, number, held, names, lengths, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -242,20 +274,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "
         end = np.array([end_id], np.uint16).tobytes()
 
         def close():
-            data = encode_segment(np.frombuffer(b"".join(held), np.uint16).astype(np.int64))
+            data = encode_segment(np.frombuffer(b"".join(held), np.uint16))
             return pa.RecordBatch.from_pylist([{"shard": shard, "segment": number, "n_ids": size, "doc_ids": names, "lengths": lengths, "data": data}], schema=arrow)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a in range(0, len(keys), 512):
-                for key, ids in zip(keys[a : a + 512], tok.encode([x or "" for x in texts[a : a + 512]])):
-                    held.append(ids + end)
-                    names.append(key)
-                    lengths.append(len(ids) // 2 + 1)
-                    size += lengths[-1]
-                    if size >= segment_tokens:
-                        yield close()
-                        number, held, names, lengths, size = number + 1, [], [], [], 0
+            for key, text in zip(batch.column(0), batch.column(1)):
+                ids = tok.encode([text.as_py() or ""])[0]
+                held.append(ids + end)
+                names.append(key.as_py())
+                lengths.append(len(ids) // 2 + 1)
+                size += lengths[-1]
+                if size >= segment_tokens:
+                    yield close()
+                    number, held, names, lengths, size = number + 1, [], [], [], 0
         if held:
             yield close()
 
@@ -286,9 +317,9 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = decode_segment(row["data"]).astype("<u4")
+        for segment in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            for row in segment.to_pylist():
+                ids = decode_segment(row["data"])
                 ends = np.cumsum(np.array(row["lengths"], np.int64))
                 starts = ends - row["lengths"]
                 raw = ids.tobytes()
@@ -297,7 +328,7 @@ def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = True) -> Dat
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    # one segment at a time: a batch of several would hold as many decoded segments
+    small_batches(spark)
     rows = spark.read.schema(_SEGMENT).parquet(path).mapInArrow(run, T.StructType(fields))
     out = rows.join(segment_starts(spark, path), ["shard", "segment"])
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

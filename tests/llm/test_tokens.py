@@ -8,11 +8,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skiplight.llm import token_blocks
 from skiplight.llm.pieces import ModelFile, Normaliser, PieceCodec, encode_pieces, spans
 from skiplight.llm.queries import BYTE_BPE, PIECES
 from skiplight.llm.token_blocks import ChunkTokeniser, decode_segment, encode_segment, quantise, read_tokens, write_tokens
 
 ODD = ["", " a", " ", "  ", "a ", "a  ", "a  b", "\n", "\n a", "a\n", "a \n b", "a\n\nb", "a\n\n", "a\n\n\nb", "  x\n  y  \n", "tab\tx \t y", "▁x a", "é ü  ß\r\n\x0bz", "日本 語\n日 本", "don't  we'll\n's x", "it's, isn't. x,y", "a<|endoftext|> b", "x 🙂 y　z w", "a\x1cb \x1c c", "Ünïcödé. word, word. word!", "<0x0A> <s> </s>", "1234 5,6 a1 1a", "ﬁ ½ Ⅷ"]
+BYTES, CODEC = ChunkTokeniser(BYTE_BPE), PieceCodec(PIECES)
 words = st.text(alphabet=st.sampled_from(list("ab é.,'\n\t ▁<>|0é́日")), max_size=40)
 
 
@@ -46,11 +48,38 @@ def test_segments_are_compact_and_checked():
 @settings(max_examples=150, deadline=None)
 @given(st.lists(words, min_size=1, max_size=4))
 def test_chunks_equal_the_library(texts):
-    t = ChunkTokeniser(BYTE_BPE)
+    t = BYTES
     texts = texts + [" ".join(texts)]
     assert [np.frombuffer(x, np.uint16).tolist() for x in t.encode(texts)] == [t.lib.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(words, min_size=1, max_size=8))
+def test_long_texts_are_cut_safely(texts):
+    t = BYTES
+    text = "<|endoftext|> a, b".join(texts) + " "
+    token_blocks.PIECE, old = 5, token_blocks.PIECE
+    try:
+        for x in (text, text * 3, " ".join(texts).replace("  ", " ")):
+            assert np.frombuffer(t.encode([x])[0], np.uint16).tolist() == t.lib.encode(x, add_special_tokens=False).ids
+    finally:
+        token_blocks.PIECE = old
+
+
+def test_a_long_odd_text_is_never_held_as_a_whole_by_the_library(monkeypatch):
+    t, most = ChunkTokeniser(BYTE_BPE), []
+
+    class Lib:
+        def encode(self, x, **kw):
+            most.append(len(x))
+            return lib.encode(x, **kw)
+
+    lib, t.lib = t.lib, Lib()
+    text = "one  two, three\t" * 40_000 + " "
+    assert np.frombuffer(t.encode([text])[0], np.uint16).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert max(most) < token_blocks.PIECE + 100 and len(most) >= 4
+
+
 def test_chunks_of_odd_texts_and_a_small_cache():
     t = ChunkTokeniser(BYTE_BPE, most=3)
     for _ in range(2):
@@ -78,7 +107,7 @@ def test_corpus_is_written_in_order(docs_of, spark, tmp_path):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(words, min_size=1, max_size=4))
 def test_pieces_equal_the_library(texts):
-    c = PieceCodec(PIECES)
+    c = CODEC
     for t, ids in zip(texts, c.encode(texts)):
         assert ids.tolist() == c.lib.encode(t)
         check_spans(c, t, ids)
@@ -100,7 +129,7 @@ def check_spans(c, text, ids):
 
 
 def test_odd_pieces(docs_of):
-    c = PieceCodec(PIECES)
+    c = CODEC
     for t, ids in zip(ODD, c.encode(ODD)):
         assert ids.tolist() == c.lib.encode(t)
         check_spans(c, t, ids)
