@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import shuffle_partitions, small_batches
 
 MAGIC = b"RNSB"
-LANES, BLOCK, CHECKPOINT = 64, 65536, 256
+LANES, BLOCK, CHECKPOINT = 128, 65536, 256
 STEPS = BLOCK // LANES
 #: Characters that the library gets at once of a long text.
 PIECE = 1 << 17
@@ -56,30 +56,31 @@ def encode_segment(ids: np.ndarray) -> bytes:
     """Ids (below 2**16, at least one) to a segment record."""
     total = len(ids)
     counts = np.bincount(ids)
-    freq = quantise(counts).astype(np.uint64)
-    start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+    freq = quantise(counts).astype(np.uint32)
+    start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
     blocks = -(-total // BLOCK)
     steps = STEPS if blocks > 1 else -(-total // LANES)
     padded = np.full(blocks * steps * LANES, int(counts.argmax()), np.uint16)
     padded[:total] = ids
     sym = padded.reshape(blocks, steps, LANES)
-    x = np.full((blocks, LANES), SCALE, np.uint64)
+    x = np.full((blocks, LANES), SCALE, np.uint32)  # states stay below 2**32
     words = np.zeros((steps, blocks, LANES), np.uint16)
     out = np.zeros((steps, blocks, LANES), bool)
     marks = np.zeros((-(-steps // CHECKPOINT), blocks, LANES), np.uint32)
-    bits = np.uint64(SCALE_BITS)
+    bits = np.uint32(SCALE_BITS)
     for t in range(steps - 1, -1, -1):
         s = sym[:, t]
         f = freq[s]
-        emit = x >= (f << np.uint64(16))
-        words[t], out[t] = x & np.uint64(0xFFFF), emit
-        x = np.where(emit, x >> np.uint64(16), x)
+        high = x >> bits
+        emit = high >= f
+        words[t], out[t] = x & np.uint32(0xFFFF), emit
+        x = np.where(emit, high, x)
         q = x // f
         x = (q << bits) + (x - q * f) + start[s]
         if t % CHECKPOINT == 0:
             marks[t // CHECKPOINT] = x
     used = np.flatnonzero(counts)
-    table = np.diff(used, prepend=0).astype("<u2").tobytes() + (freq[used] - np.uint64(1)).astype("<u2").tobytes()
+    table = np.diff(used, prepend=0).astype("<u2").tobytes() + (freq[used] - np.uint32(1)).astype("<u2").tobytes()
     table = zlib.compress(table, 1)
     head, body = [], []
     per_step = out.sum(2)
@@ -101,9 +102,9 @@ def decode_segment(data: bytes) -> np.ndarray:
     table = np.frombuffer(zlib.decompress(data[at : at + table_len]), "<u2")
     at += table_len
     used = np.cumsum(table[:distinct].astype(np.int64))
-    freq = table[distinct:].astype(np.uint64) + np.uint64(1)
-    start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-    slot = np.repeat(np.arange(distinct), freq.astype(np.int64))
+    freq = table[distinct:].astype(np.uint32) + np.uint32(1)
+    start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint32)
+    slot = np.repeat(np.arange(distinct, dtype=np.uint16), freq)
     lens, sums, firsts, states = [], [], [], []
     for _ in range(blocks):
         lens.append(struct.unpack_from("<III", data, at))
@@ -117,24 +118,24 @@ def decode_segment(data: bytes) -> np.ndarray:
     for (size, crc, _), first in zip(lens, firsts):
         if zlib.crc32(data[at + base : at + base + size]) != crc:
             raise ValueError("a block's words fail their checksum")
-        pos.append(first.astype(np.int64) + base // 2)
+        pos.append(first.astype(np.int32) + base // 2)
         base += size
-    words = np.concatenate([np.frombuffer(data, "<u2", base // 2, at), [0]]).astype(np.uint64)
+    words = np.concatenate([np.frombuffer(data, "<u2", base // 2, at), [0]]).astype(np.uint32)
     # every run between checkpoints of every block is one row of lanes, all decoded together
-    x = np.stack(states).reshape(-1, LANES).astype(np.uint64)
+    x = np.stack(states).reshape(-1, LANES).astype(np.uint32)
     ptr = np.stack(pos).reshape(-1)
     run = min(CHECKPOINT, steps)
     left = np.tile(np.minimum(steps - np.arange(n_marks) * CHECKPOINT, run), blocks)
     got = np.zeros((len(ptr), run, LANES), np.uint16)
     last = len(words) - 1
     for t in range(run):
-        low = x & np.uint64(SCALE - 1)
-        s = slot[low.astype(np.int64)]
+        low = x & np.uint32(SCALE - 1)
+        s = slot[low]
         got[:, t] = s
-        x = freq[s] * (x >> np.uint64(SCALE_BITS)) + low - start[s]
-        need = (x < np.uint64(SCALE)) & (t < left)[:, None]
-        where = np.cumsum(need, 1)
-        x = np.where(need, (x << np.uint64(16)) | words[np.minimum(ptr[:, None] + where - 1, last)], x)
+        x = freq[s] * (x >> np.uint32(SCALE_BITS)) + low - start[s]
+        need = (x < np.uint32(SCALE)) & (t < left)[:, None]
+        where = np.cumsum(need, 1, dtype=np.int32)
+        x = np.where(need, (x << np.uint32(16)) | words[np.minimum(ptr[:, None] + where - 1, last)], x)
         ptr = ptr + where[:, -1]
     ids = used.astype("<u4")[got].reshape(blocks, n_marks * run, LANES)[:, :steps].reshape(-1)[:total]
     for b, (_, _, crc) in enumerate(lens):
@@ -261,7 +262,7 @@ def tokeniser(path: str) -> ChunkTokeniser:
 _SEGMENT = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("segment", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_tokens: int = 1_000_000, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, segment_tokens: int = 2_000_000, partitions: int | None = None) -> None:
     """Tokenise ``docs`` and write their ids in ascending id order as segments under ``path``.
 
     A text whose ids alone exceed a segment makes a segment of its own size.
