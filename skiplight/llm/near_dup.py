@@ -5,13 +5,15 @@
    slots (a Fisher-Yates shuffle, one step for each rank), so an element's values in different slots are correlated
    ranks, and the walk stops as soon as no slot of the document can still improve. Slots are banded.
 2. Texts with equal sets are one class, named by its smallest id; only classes are banded and joined.
-3. Members of a band bucket are tied to the bucket's smallest class (a star, never all pairs). Connected components of
-   these ties are the candidate groups: every pair of classes that shares a band is inside one of them.
-4. Each candidate group is verified on full sets: intersection sizes come from a product of membership patterns, and
-   every pair that reaches the similarity links its classes. A group beyond ``LARGE`` classes (band by band, unlike
-   texts chain together in very large corpora) is verified bucket by bucket instead. Either unit, beyond ``CHUNK``
-   classes or ``CHUNK_SHINGLES`` elements, is dealt into chunks, and each pair of chunks is a unit of its own, so no
-   pair is lost and no task holds more than two chunks. Only a spanning forest of the links leaves a task.
+3. Members of a band bucket are tied to the bucket's smallest class (a star, never all pairs), and each tie is verified
+   on full sets. A class tied to very many is dealt with them by a salt, ``STAR`` at a time, and a task holds the sets of
+   two classes at once.
+4. Only buckets whose members (but the smallest) lie in several components of the verified ties can still hold a link
+   that changes anything: all their pairs are verified, buckets of the same members once. Intersection sizes come from a
+   product of membership patterns; a bucket beyond ``CHUNK`` classes or ``CHUNK_SHINGLES`` elements is dealt into
+   chunks, and each pair of chunks is a unit of its own, so no pair is lost and no task holds more than two chunks. Only
+   a spanning forest of the links leaves a task. So each pair that shares a band is verified, or its classes are known to
+   be connected, whatever the sizes; a group of copies costs time in proportion to its size.
 5. Union-find over the links, as alternating large and small stars, names each component by its smallest id.
 
 With ``BANDS`` bands of ``ROWS`` slots a pair of similarity 0.85 shares no band with a probability of 8e-7, one of 0.8
@@ -30,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop_paths, durable, mix64, scratch, slices, text_bytes, word_hashes
+from .common import drop_paths, durable, mix64, scratch, slices, small_batches, text_bytes, word_hashes
 
 BANDS, ROWS = 44, 8
-CHUNK, CHUNK_SHINGLES, LARGE = 1500, 3_000_000, 12_000
+STAR, CHUNK, CHUNK_SHINGLES = 200, 400, 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,8 +112,9 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, shingle: int, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, n, key, bands) per row: the id, the set's size, a 128-bit key of the set, and its band keys."""
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(k, h, n, key, bands) per row: the id, the text's hash, the set's size, a 128-bit key of the set, and its band keys."""
+    small_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
@@ -129,9 +132,14 @@ def signatures(docs: DataFrame, *, shingle: int, bands: int = BANDS, rows: int =
                     for i, r in enumerate(full):
                         keys[r] = one[i].tobytes() + two[i].tobytes()
                         found[r] = bandings[i]
-                yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["k", "n", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), part.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["k", "h", "n", "key", "bands"])
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return texts_of(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, h, t): id, text hash and text."""
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -215,49 +223,111 @@ def forest(link: np.ndarray, nodes: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def units_of(groups: DataFrame, banded: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(node, key, n, unit): the units that candidate groups (node, root, key, n) are verified in. A unit is a group's
-    root, or for large groups a band bucket."""
-    large = groups.groupBy("root").agg(F.count("*").alias("members")).where(F.col("members") > LARGE).select("root")
-    whole = groups.withColumn("unit", F.struct(F.lit(0).alias("kind"), F.col("root").alias("of")))
-    if not large.limit(1).count():
-        return whole.select("node", "key", "n", "unit")
-    own = groups.join(large, "root").select("node", "key", "n")
-    split = banded.join(buckets, "band").select(F.col("rep").alias("node"), "band").join(own, "node").withColumn("unit", F.struct(F.lit(1).alias("kind"), F.col("band").alias("of")))
-    return whole.join(large, "root", "left_anti").select("node", "key", "n", "unit").union(split.select("node", "key", "n", "unit"))
-
-
-def verified_links(docs: DataFrame, units: DataFrame, *, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each unit. units: (node, key, n, unit)."""
-    size = units.groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("elements"))
-    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("elements") / CHUNK_SHINGLES)).cast("int")
-    # a class's text is read and cut into shingles once, whatever the number of its units
-    plan = units.join(size, "unit").withColumn("chunks", chunks).groupBy("node", "key").agg(F.collect_list(F.struct("unit", "chunks")).alias("units"))
-    text = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("t"))
-    rows = text.join(plan, "node")
+def set_rows(docs: DataFrame, classes: DataFrame, plan: DataFrame, *, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, own, and the fields of ``units``) for each unit of each class: its set as sorted 64-bit hashes. plan: (node,
+    units); a class's text is read and cut into shingles once, whatever the number of its units. Of a class's equal rows
+    one is taken."""
+    small_batches(docs.sparkSession)
+    wanted = classes.select(F.col("rep").alias("node"), "h").join(plan, "node").withColumnsRenamed({"h": "h2"})
+    rows = texts_of(docs, id_col, text_col).join(wanted, (F.col("k") == F.col("node")) & (F.col("h") == F.col("h2"))).select("node", "h", "t", "units")
+    kind = rows.schema["units"].dataType
 
     def sets(batches):
+        last = None
         for batch in batches:
             for part in slices(batch, "t", 2 << 20):
+                # rows of one text stand together after the join; the same set twice would be work, never an error
+                keep = []
+                for one in zip(part.column("node").to_pylist(), part.column("h").to_pylist()):
+                    keep.append(one != last)
+                    last = one
+                part = part.filter(pa.array(keep))
                 elements, where = shingle_sets(part.column("t"), shingle)
                 cuts = np.searchsorted(where, np.arange(part.num_rows + 1))
-                out = []
-                for i, key in enumerate(part.column("key").to_pylist()):
-                    own = elements[cuts[i] : cuts[i + 1]]
-                    with np.errstate(over="ignore"):
-                        same = len(own) and mix64(own).sum(dtype=np.uint64).tobytes() + mix64(~own).sum(dtype=np.uint64).tobytes() == key
-                    out.append(own.tobytes() if same else None)
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("units"), pa.array(out, pa.binary())], names=["node", "units", "own"])
+                own = [elements[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("units"), pa.array(own, pa.binary())], names=["node", "units", "own"])
+
+    out = rows.mapInArrow(sets, T.StructType([T.StructField("node", T.LongType()), T.StructField("units", kind), T.StructField("own", T.BinaryType())]))
+    return out.select("node", "own", F.inline("units"))
+
+
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _grouped(batches, keys: tuple[str, ...], start, add, close):
+    """Edges from rows sorted by ``keys``: ``start()`` at each new key, ``add(row)`` gives edges or none, ``close()`` too."""
+    group = None
+    for batch in batches:
+        found = []
+        for row in batch.to_pylist():
+            now = tuple(row[k] for k in keys)
+            if now != group:
+                found += close() if group else []
+                group = now
+                start()
+            found += add(row)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=_EDGE)
+    yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in (close() if group else [])], schema=_EDGE)
+
+
+def star_links(docs: DataFrame, classes: DataFrame, ties: DataFrame, *, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): the ties (a, first) whose sets reach the similarity."""
+    pairs = durable(ties.select("a", "first").distinct(), "pairs")
+    sizes = durable(pairs.groupBy("first").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")), "stars")
+    members = pairs.join(sizes, "first").select(F.col("a").alias("node"), F.struct(F.col("first").alias("of"), F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role")).alias("u"))
+    centres = sizes.select(F.col("first").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).select("node", F.struct(F.col("node").alias("of"), "salt", F.lit(0).alias("role")).alias("u"))
+    plan = members.union(centres).groupBy("node").agg(F.collect_list("u").alias("units"))
+
+    def link(batches):
+        centre: list[np.ndarray] = []
 
-    # rows of one id with another text than the class's fall away; so do repeated rows
-    members = rows.mapInArrow(sets, "node long, units array<struct<unit:struct<kind:int,of:long>,chunks:int>>, own binary").where("own IS NOT NULL")
-    members = members.select("node", "own", F.explode("units").alias("u")).select("node", "own", "u.unit.kind", "u.unit.of", "u.chunks")
+        def add(row):
+            own = np.frombuffer(row["own"], np.uint64)
+            if row["role"] == 0:
+                centre.append(own)
+                return []
+            return [(row["node"], row["of"])] if any(similar(own, c, num, den) for c in centre) else []
+
+        return _grouped(batches, ("of", "salt"), centre.clear, add, list)
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = set_rows(docs, classes, plan, shingle=shingle, id_col=id_col, text_col=text_col)
+    return rows.repartition(n, "of", "salt").sortWithinPartitions("of", "salt", "role").mapInArrow(link, "a long, b long")
+
+
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """den * |X and Y| >= num * |X or Y|, of sorted distinct elements."""
+    if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return den * common >= num * (len(both) - common)
+
+
+def verified_links(docs: DataFrame, classes: DataFrame, units: DataFrame, *, shingle: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): a spanning forest of the links inside each unit. units: (node, unit)."""
+    units = units.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("n").alias("n")), "node")
+    size = durable(units.groupBy("unit").agg(F.count("*").alias("members"), F.sum("n").alias("elements")), "units")
+    chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("elements") / CHUNK_SHINGLES)).cast("int")
+    # a member of chunk c meets those of every chunk
     mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = members.withColumn("mine", mine).withColumn("other", other).select("kind", "of", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
+    dealt = units.join(size, "unit").withColumn("chunks", chunks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    plan = dealt.select("node", F.struct(F.col("unit").alias("of"), F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("u"))
+    plan = plan.groupBy("node").agg(F.collect_list("u").alias("units"))
 
     def link(batches):
-        group, nodes, own = None, [], []
+        nodes: list[int] = []
+        own: list[bytes] = []
+
+        def start():
+            nodes.clear()
+            own.clear()
+
+        def add(row):
+            nodes.append(row["node"])
+            own.append(row["own"])
+            return []
 
         def close():
             if len(nodes) < 2:
@@ -265,36 +335,38 @@ def verified_links(docs: DataFrame, units: DataFrame, *, shingle: int, num: int,
             sizes = np.array([len(x) // 8 for x in own], np.float64)
             return forest(linked(sizes, [np.frombuffer(x, np.uint64) for x in own], num, den), nodes)
 
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                now = (row["kind"], row["of"], row["i"], row["j"])
-                if now != group:
-                    found += close()
-                    group, nodes, own = now, [], []
-                nodes.append(row["node"])
-                own.append(row["own"])
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=arrow)
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in close()], schema=arrow)
-
-    arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-    n = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return dealt.repartition(int(n), "kind", "of", "i", "j").sortWithinPartitions("kind", "of", "i", "j").mapInArrow(link, "a long, b long")
+        return _grouped(batches, ("of", "i", "j"), start, add, close)
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = set_rows(docs, classes, plan, shingle=shingle, id_col=id_col, text_col=text_col)
+    return rows.repartition(n, "of", "i", "j").sortWithinPartitions("of", "i", "j").mapInArrow(link, "a long, b long")
+
+
+def mixed_buckets(ties: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, unit): the members but the smallest of buckets where these lie in several components; of buckets with the
+    same members one."""
+    placed = ties.where("size > 2").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), F.sum(F.xxhash64("a").cast("decimal(38,0)")).alias("s"), F.sum(F.hash("a").cast("long")).alias("s2")).where("x < y")
+    mixed = durable(mixed.groupBy("n", "s", "s2").agg(F.min("band").alias("band")).select("band"), "mixed")
+    return durable(ties.join(mixed, "band").select(F.col("a").alias("node"), F.col("band").alias("unit")), "mixed-members")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for each row: documents with den * |A and B| >= num * |A or B| are linked,
     and the document with the smallest id of each component is kept."""
     spark = docs.sparkSession
+    how = {"shingle": shingle, "num": num, "den": den, "id_col": id_col, "text_col": text_col}
     marked = durable(signatures(docs, shingle=shingle, bands=bands, rows=rows, id_col=id_col, text_col=text_col), "signatures")
-    classes = durable(marked.where("n > 0 AND k IS NOT NULL").groupBy("key", "n", "bands").agg(F.min("k").alias("rep")), "classes")
+    who = F.min(F.struct("k", "h"))
+    classes = durable(marked.where("n > 0 AND k IS NOT NULL").groupBy("key", "n", "bands").agg(who.alias("w")).select("key", "n", "bands", F.col("w.k").alias("rep"), F.col("w.h").alias("h")), "classes")
     banded = classes.select(F.explode("bands").alias("band"), "rep")
-    buckets = banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1").drop("size")
-    ties = banded.join(buckets, "band").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    groups, held = components(ties)
-    groups = groups.join(classes.select(F.col("rep").alias("node"), "key", "n"), "node")
-    roots, _ = components(verified_links(docs, units_of(groups, banded, buckets), shingle=shingle, num=num, den=den, id_col=id_col, text_col=text_col))
-    drop_paths(spark, held)
+    buckets = durable(banded.groupBy("band").agg(F.min("rep").alias("first"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    ties = durable(banded.join(buckets, "band").where("rep <> first").select("band", F.col("rep").alias("a"), "first", "size"), "ties")
+    links = durable(star_links(docs, classes, ties, **how), "links")
+    roots, _ = components(links)
+    units = mixed_buckets(ties, roots)
+    if units.limit(1).count():
+        roots, _ = components(links.union(durable(verified_links(docs, classes, units, **how), "more-links")))
     named = classes.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("root", "rep").alias("root"))
     out = marked.select("k", "n", "key").join(named, "key", "left")
     component = F.when(F.col("k").isNotNull(), F.coalesce("root", "k"))

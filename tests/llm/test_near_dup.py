@@ -71,12 +71,12 @@ def test_defined_cases(docs_of, spark):
     assert near_duplicates(docs_of([]), shingle=3).collect() == []
 
 
-@pytest.mark.parametrize("large", [5, 10**6])
-def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch, large):
+@pytest.mark.parametrize("chunk,star", [(10, 7), (10**6, 10**6)])
+def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch, chunk, star):
     import skiplight.llm.near_dup as nd
 
-    monkeypatch.setattr(nd, "CHUNK", 10)
-    monkeypatch.setattr(nd, "LARGE", large)
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    monkeypatch.setattr(nd, "STAR", star)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join(base)]
@@ -89,6 +89,19 @@ def test_large_groups_are_dealt_into_chunks(docs_of, monkeypatch, large):
     assert got == brute(list(enumerate(texts)), 3, 85, 100)
 
 
+@pytest.mark.parametrize("chunk,shingles", [(3, 10**9), (10**6, 150), (10**6, 10**9)])
+def test_links_between_others_than_a_buckets_smallest(spark, docs_of, monkeypatch, chunk, shingles):
+    """One bucket for all: what the star leaves apart is verified pair by pair."""
+    import skiplight.llm.near_dup as nd
+
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    monkeypatch.setattr(nd, "CHUNK_SHINGLES", shingles)
+    monkeypatch.setattr(nd, "band_keys", lambda sig, bands, rows: np.full((len(sig), bands), 7, np.uint64))
+    texts = corpus(11, 40)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs_of(texts), shingle=3, num=85, den=100).collect()}
+    assert got == brute(list(enumerate(texts)), 3, 85, 100)
+
+
 def test_super_minhash_estimates_and_is_independent_of_chunks():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
