@@ -10,13 +10,15 @@ block and the payload (SHA-1, bare base32). Of the records with equal payloads o
 ``response`` and the others are ``revisit`` records that refer to it.
 
 Files are written by Spark's text sink with a line separator equal to the format's own record separator and gzip over
-the file, so they reach any file system that Spark can, commit atomically and survive lost executors. They are read as
-whole files, one per input partition of the writing job; ``spark.sql.files.maxPartitionBytes`` bounds that size.
+the file (not over each record, which that sink can't do), so they reach any file system that Spark can, commit atomically
+and survive lost executors. There is one file per input partition of the writing job, whose size
+``spark.sql.files.maxPartitionBytes`` bounds. A compressed file is held as a whole while it is read, its content not.
 
 Defined cases: a null payload is empty; a null URL is written as ``unknown:``; white space and control characters in
 a URL are percent-encoded; repeated page ids are one record each, and the response of a group is the first of its rows
 with the largest id (equal rows differ by their place in the archive); a null page id is kept as null and sorts
-before every other; empty tables give archives without records.
+before every other; empty tables give archives without records. In ARC files spaces in URLs are read as part of them;
+damaged headers and cut-off records are listed with their place and error, and the records after them are still read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import re
 import uuid
 
@@ -32,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import durable, slices, small_batches
 
 #: The header fields of each ARC version, and the separators of records.
 ARC_FIELDS = {
@@ -81,32 +84,44 @@ def arc_opening(version: int, name: str, date: str) -> bytes:
     return arc_record(version, {"URL": f"filedesc://{name}", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/plain", "Result-code": "200", "Filename": name, "Offset": "0"}, body)
 
 
-def parse_arc(data: bytes):
-    """(offset, version, fields, block) of each record after the filedesc record; ValueError for a damaged file."""
-    version, names, at = 0, ["Archive-length"], 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":  # separators
-            at += 1
+def parse_arc(data: bytes | io.BufferedIOBase, *, keep_damaged: bool = False):
+    """(offset, version, fields, block, error) of each record after the filedesc record, read as a stream: a record at a
+    time is in memory. A header line's fields are taken from its end, so a URL may hold spaces.
+
+    Where no header line stands or a record is cut off, ValueError is raised; with ``keep_damaged`` a record without
+    fields, whose error tells the place, is given instead, and reading goes on at the next line that is a header's.
+    """
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
+    version, names, at, lost = 0, ["Archive-length"], 0, False
+    while line := f.readline():
+        start, at = at, at + len(line)
+        if not line.strip(b"\r\n"):  # separators
             continue
-        eol = data.find(b"\n", at)
-        parts = data[at : eol if eol >= 0 else len(data)].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if eol < 0 or not parts[-1].isdigit() or (version and len(parts) != len(names)):
-            raise ValueError(f"no ARC header line at byte {at}")
-        size, body = int(parts[-1]), eol + 1
-        if body + size > len(data):
-            raise ValueError(f"the record at byte {at} is cut off")
-        block = data[body : body + size]
-        if parts[0].startswith("filedesc://"):
+        parts = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", max(len(names) - 1, 1))
+        good = line.endswith(b"\n") and parts[-1].isdigit() and (not version or len(parts) == len(names)) and (not lost or "://" in parts[0])
+        opening = parts[0].startswith("filedesc://")
+        block = f.read(int(parts[-1])) if good else b""
+        error = None
+        if not good or not version and not opening:
+            error = f"no ARC header line at byte {start}" if version or not good else "no filedesc record"
+        elif len(block) < int(parts[-1]):
+            error = f"the record at byte {start} is cut off"
+        elif opening:
             first, _, rest = block.partition(b"\n")
-            version = int(first.split(b" ")[0])
+            version = int(n) if (n := first.split(b" ")[0]).isdigit() else 0
+            names = rest.decode("utf-8", "replace").split("\n")[0].split(" ") if rest else ARC_FIELDS.get(version, [])
             if version not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version}")
-            names = rest.decode().split("\n")[0].split(" ") if rest else ARC_FIELDS[version]
-        else:
-            if not version:
-                raise ValueError("no filedesc record")
-            yield at, version, dict(zip(names, parts)), block
-        at = body + size
+                error, version = f"unknown ARC version {version}", 0
+        at += len(block)
+        if error and not keep_damaged:
+            raise ValueError(error)
+        if error:
+            if not lost:
+                yield start, version, {}, b"", error
+            lost = True
+        elif not opening:
+            lost = False
+            yield start, version, dict(zip(names, parts)), block, None
 
 
 def iso_date(date: str) -> str:
@@ -121,22 +136,23 @@ def warc_record(headers: dict[str, str], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def parse_warc(data: bytes):
-    """(headers with names in lower case, block) of each record, by its declared length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 1] in b"\r\n":
-            at += 1
+def parse_warc(data: bytes | io.BufferedIOBase):
+    """(headers with names in lower case, block) of each record, by its declared length, a record at a time."""
+    f = io.BytesIO(data) if isinstance(data, bytes) else data
+    while line := f.readline():
+        if not line.strip(b"\r\n"):
             continue
-        end = data.find(b"\r\n\r\n", at)
-        if not data.startswith(b"WARC/", at) or end < 0:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = data[at:end].decode("utf-8").split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        at = end + 4 + int(headers["content-length"])
-        if at > len(data):
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record begins with {line[:20]!r}")
+        headers = {}
+        while (line := f.readline()).strip(b"\r\n"):
+            k, _, v = line.decode("utf-8").partition(":")
+            headers[k.strip().lower()] = v.strip()
+        size = int(headers["content-length"])
+        block = f.read(size)
+        if len(block) < size:
             raise ValueError("the last record is cut off")
-        yield headers, data[end + 4 : at]
+        yield headers, block
 
 
 def _write(rows: DataFrame, path: str, separator: str, level: str = "DEFAULT_COMPRESSION") -> None:
@@ -170,8 +186,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def _content(raw: bytes) -> bytes:
-    return gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def _content(raw: bytes) -> io.BufferedIOBase:
+    """The file's bytes as a stream; only what is read is decompressed."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)), 1 << 16) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
 
 
 def _rows(rows: list[dict], schema: pa.Schema, bytes_of: str, most: int = 8 << 20):
@@ -189,8 +206,9 @@ def _rows(rows: list[dict], schema: pa.Schema, bytes_of: str, most: int = 8 << 2
 
 def read_arcs(spark: SparkSession, path: str, *, with_block: bool = True) -> DataFrame:
     """The records of ARC files: file, offset, version, url, ip, date, mime, page_id, payload digest and, if asked for,
-    the block."""
-    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("block", pa.binary())])
+    the block. What can't be read as a record is a row with its place and ``error``, other columns null."""
+    small_batches(spark)
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("version", pa.int32()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("block", pa.binary()), ("error", pa.string())])
 
     def run(batches):
         for batch in batches:
@@ -198,28 +216,39 @@ def read_arcs(spark: SparkSession, path: str, *, with_block: bool = True) -> Dat
                 file = batch.column(0)[i].as_py().rpartition("/")[2]
 
                 def records():
-                    for at, version, f, block in parse_arc(_content(batch.column(1)[i].as_py())):
+                    for at, version, f, block, error in parse_arc(_content(batch.column(1)[i].as_py()), keep_damaged=True):
+                        if error:
+                            yield {"file": file, "offset": at, "block": None, "error": error}
+                            continue
                         headers, _, payload = split_http(block)
                         page = headers.get("x-page-id")
                         yield {"file": file, "offset": at, "version": version, "url": f["URL"], "ip": f["IP-address"], "date": f["Archive-date"], "mime": f["Content-type"], "page_id": None if page is None else int(page), "payload_bytes": len(payload), "digest": base32_sha1(payload), "block": block if with_block else None}
 
                 yield from _rows(records(), schema, "block", 8 << 20)
 
-    return files(spark, path).mapInArrow(run, "file string, offset long, version int, url string, ip string, date string, mime string, page_id long, payload_bytes long, digest string, block binary")
+    return files(spark, path).mapInArrow(run, "file string, offset long, version int, url string, ip string, date string, mime string, page_id long, payload_bytes long, digest string, block binary, error string")
 
 
 def record_id(file: str, offset: int, url: str, date: str, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join((file, str(offset), url, date, digest)))}>"
 
 
-def convert_arcs(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0) -> None:
-    """Read ARC files under ``source`` and write their records as WARC files under ``target``."""
+def convert_arcs(spark: SparkSession, source: str, target: str, *, least_bytes: int = 0) -> DataFrame:
+    """Read ARC files under ``source`` and write their records as WARC files under ``target``. Gives (file, offset, error)
+    of what could not be read as a record; all other records are converted.
+
+    Which records are revisits is found from headers alone; bodies then meet that table by their place (file, offset),
+    which no two records share, so a payload of very many copies is no hot key.
+    """
+    heads = durable(read_arcs(spark, source, with_block=False).drop("block"), "heads")
     place = F.struct(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))).alias("page_id"), "file", "offset")
-    heads = read_arcs(spark, source, with_block=False).where(F.col("payload_bytes") >= least_bytes)
-    chosen = heads.groupBy("digest", "payload_bytes").agg(F.max(F.struct(place.alias("place"), "url", "date")).alias("c"))
-    # smaller payloads find no match and stay responses
-    chosen = chosen.select("digest", "payload_bytes", F.col("c.place.file").alias("first_file"), F.col("c.place.offset").alias("first_offset"), F.col("c.url").alias("first_url"), F.col("c.date").alias("first_date"))
-    rows = read_arcs(spark, source).join(chosen, ["digest", "payload_bytes"], "left")
+    sound = heads.where(F.col("error").isNull() & (F.col("payload_bytes") >= least_bytes))
+    chosen = sound.groupBy("digest", "payload_bytes").agg(F.max(F.struct(place.alias("place"), "url", "date")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    # of payloads that stand once, or are smaller, there is nothing to look up: their records are responses
+    chosen = durable(chosen.select("digest", "payload_bytes", F.col("c.place.file").alias("first_file"), F.col("c.place.offset").alias("first_offset"), F.col("c.url").alias("first_url"), F.col("c.date").alias("first_date")), "chosen")
+    revisits = sound.select("file", "offset", "digest", "payload_bytes").join(chosen, ["digest", "payload_bytes"]).where("file <> first_file OR offset <> first_offset")
+    revisits = durable(revisits.drop("digest", "payload_bytes"), "revisits")
+    rows = read_arcs(spark, source).where("error IS NULL").join(revisits, ["file", "offset"], "left")
     names = ["file", "offset", "url", "ip", "date", "mime", "digest", "payload_bytes", "block", "first_file", "first_offset", "first_url", "first_date"]
 
     def run(batches):
@@ -232,7 +261,7 @@ def convert_arcs(spark: SparkSession, source: str, target: str, *, least_bytes:
                 out = []
                 for r in batch.slice(a, 256).to_pylist():
                     _, head, payload = split_http(r["block"])
-                    first = r["first_file"] is None or (r["first_file"], r["first_offset"]) == (r["file"], r["offset"])
+                    first = r["first_file"] is None
                     headers = {"WARC-Type": "response" if first else "revisit", "WARC-Record-ID": record_id(r["file"], r["offset"], r["url"], r["date"], r["digest"]), "WARC-Date": iso_date(r["date"]), "WARC-Target-URI": r["url"], "WARC-IP-Address": r["ip"], "Content-Type": "application/http; msgtype=response" if head else r["mime"], "WARC-Payload-Digest": f"sha1:{r['digest']}", "WARC-Identified-Payload-Type": r["mime"]}
                     block = r["block"]
                     if not first:
@@ -243,6 +272,7 @@ def convert_arcs(spark: SparkSession, source: str, target: str, *, least_bytes:
                 yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     _write(rows.select(*names).mapInArrow(run, "record binary"), target, WARC_SEPARATOR)
+    return heads.where("error IS NOT NULL").select("file", "offset", "error")
 
 
 def read_warcs(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:

@@ -17,7 +17,7 @@ def test_arc_versions():
     for version in (1, 2):
         data = A.arc_opening(version, "x.arc", "20240101000000") + b"\n" + b"\n".join(A.arc_record(version, {"URL": f"http://h/{i}", "IP-address": "1.2.3.4", "Archive-date": "2024", "Content-type": "text/html", "Result-code": "200"}, b) for i, b in enumerate(blocks)) + b"\n"
         got = list(A.parse_arc(data))
-        assert [b for *_, b in got] == blocks and [f["URL"] for _, _, f, _ in got] == [f"http://h/{i}" for i in range(4)]
+        assert [b for *_, b, _ in got] == blocks and [f["URL"] for _, _, f, *_ in got] == [f"http://h/{i}" for i in range(4)]
         assert all(v == version and data[at:].startswith(b"http://h/") for at, v, *_ in got)
         assert (got[0][2].get("Result-code") == "200") == (version == 2)
         with pytest.raises(ValueError, match="cut off"):
@@ -27,6 +27,21 @@ def test_arc_versions():
             list(A.parse_arc(bad))
 
 
+def test_damaged_archives_are_read_on(spark, tmp_path):
+    head = {"IP-address": "1.2.3.4", "Archive-date": "2024", "Content-type": "text/html"}
+    one, two, three = (A.arc_record(1, {"URL": u, **head}, b) for u, b in (("http://h/a b  c", b"<p>one</p>"), ("http://h/2", b"two"), ("http://h/3", b"three")))
+    data = A.arc_opening(1, "x.arc", "2024") + b"\n" + one + b"\nhttp://broken 1 2\nhtml of it\n" + two + b"\n" + three[:-2]
+    got = list(A.parse_arc(data, keep_damaged=True))
+    assert [(f.get("URL"), b, e is None) for _, _, f, b, e in got] == [("http://h/a b  c", b"<p>one</p>", True), (None, b"", False), ("http://h/2", b"two", True), (None, b"", False)]
+    assert data[got[1][0] :].startswith(b"http://broken") and "cut off" in got[3][4]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.arc.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "a" / "y.arc").write_bytes(b"not an archive\n")
+    errors = A.convert_arcs(spark, str(tmp_path / "a"), str(tmp_path / "w")).collect()
+    assert sorted((r["file"], r["offset"]) for r in errors) == [("x.arc.gz", got[1][0]), ("x.arc.gz", got[3][0]), ("y.arc", 0)]
+    assert sorted(r["url"] for r in A.read_warcs(spark, str(tmp_path / "w")).collect()) == ["http://h/2", "http://h/a b  c"]
+
+
 def test_dates_and_urls():
     assert A.iso_date("20240229123456") == "2024-02-29T12:34:56Z" and A.iso_date("2024") == "2024-01-01T00:00:00Z" and A.iso_date("-") == "1970-01-01T00:00:00Z"
     assert A.safe_url(None) == A.safe_url("") == "unknown:" and A.safe_url("http://a b\n\xa0") == "http://a%20b%0A%C2%A0"
