@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, small_batches
 from .fertility import base_counts
 from .toxicity import labelled_sample
 
@@ -143,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, label_col: str
                 rows = [features(t or "") for t in part.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), pa.array(rows, pa.list_(pa.float64()))], names=["k", "y", "f"])
 
+    small_batches(docs.sparkSession)
     got = sample.mapInArrow(run, "k long, y int, f array<double>").collect()
     got.sort(key=lambda r: (r["k"], r["f"]))  # the order of rows must not change the fit
     x = np.array([r["f"] for r in got], float).reshape(-1, len(FEATURES))
@@ -151,6 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, *, label_col: str
 
 def score(docs: DataFrame, ranker: Ranker, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, rank, score) for each row: the Bradley-Terry score and its calibrated form."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("rank", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -165,6 +167,7 @@ def score(docs: DataFrame, ranker: Ranker, *, id_col: str = "doc_id", text_col:
 
 
 def keep_best(scored: DataFrame, share: float) -> DataFrame:
-    """``scored`` with ``kept``: the rank lies in the best ``share`` of all rows (by approximate quantile)."""
+    """``scored`` with ``kept``: the rank lies in the best ``share`` of all rows. The quantile is approximate, to a
+    ten-thousandth of the rows, from a summary of bounded size; rows that tie with it are kept."""
     cut = scored.agg(F.percentile_approx("rank", F.lit(1.0 - share), F.lit(10_000)).alias("c")).first()["c"]
-    return scored.withColumn("kept", F.col("rank") >= F.lit(cut))
+    return scored.withColumn("kept", F.coalesce(F.col("rank") >= F.lit(cut).cast("double"), F.lit(False)))
