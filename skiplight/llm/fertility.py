@@ -1,8 +1,9 @@
 """Quality rules from tokeniser fertility.
 
-Each text is encoded with public vocabularies; per vocabulary the operator measures characters per token, the share of
-byte-fallback pieces (those of white space aside) and the mean entropy, in bits, of the tokens in windows of ``WINDOW``
-(a window's entropy doesn't depend on the text's length). A text is rejected when a measure leaves
+Each text is encoded with public vocabularies, SentencePiece models and byte-level ones; per vocabulary the operator
+measures characters per token, the share of byte-fallback tokens (byte pieces, those of white space aside; of byte-level
+vocabularies, tokens that are a part of a character) and the mean entropy, in bits, of the tokens in windows of ``WINDOW``
+(a window's entropy doesn't depend on the text's length). A text is rejected when a measure of any vocabulary leaves
 
 * the fixed band of its script, or
 * the band of its language: quartiles over all documents that pass the base rule, widened by multiples of their
@@ -28,8 +29,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, durable, join_small, slices
+from .common import WORD, durable, join_small, slices, small_batches
 from .pieces import codec
+from .token_blocks import tokeniser
 
 SYMBOLS = "#*$%&|<>"
 
@@ -59,6 +61,16 @@ BANDS = {
     "other": Band((0.25, 8.0), 1.0, 2.5),
 }
 
+#: The same for a byte-level vocabulary of about 50,000 tokens that was built for English.
+BYTE_BANDS = {
+    "latin": Band((1.2, 8.0), 0.25, 3.5),  # accented letters after rare ones are cut into bytes
+    "cyrillic": Band((0.4, 4.0), 0.60, 2.5),
+    "greek": Band((0.3, 3.0), 0.60, 2.5),
+    "han": Band((0.25, 2.0), 1.0, 2.5),
+    "kana": Band((0.25, 2.5), 1.0, 2.5),
+    "other": Band((0.2, 8.0), 1.0, 2.0),
+}
+
 
 def script_of(text: str) -> str:
     """The script of most letters; ``latin`` where no other is seen."""
@@ -128,20 +140,60 @@ def in_band(m: tuple[float, float, float], band: Band) -> bool:
     return band.chars_per_token[0] <= m[0] <= band.chars_per_token[1] and m[1] <= band.byte_share and m[2] >= band.entropy
 
 
-def measure(docs: DataFrame, vocabularies: dict[str, str], *, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: the counts, base_failed, the script, each vocabulary's measures, and in_script_band."""
+class Pieces:
+    """A SentencePiece model: ids of texts, and which of them are byte pieces of other than white space."""
+
+    bands = BANDS
+
+    def __init__(self, path: str):
+        self.codec = codec(path)
+        self.is_byte = self.codec.is_byte.copy()
+        self.is_byte[[self.codec.lib.piece_to_id(f"<0x{b:02X}>") for b in b"\t\n\x0b\x0c\r "]] = False
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.codec.encode(texts)
+
+
+class ByteLevel:
+    """A byte-level vocabulary: ids of texts, and which tokens are a part of a character."""
+
+    bands = BYTE_BANDS
+
+    def __init__(self, path: str):
+        self.tokeniser = tokeniser(path)
+        byte_of = {c: b for b, c in self.tokeniser.alphabet.items()}
+        vocabulary = self.tokeniser.lib.get_vocab(with_added_tokens=True)
+        self.is_byte = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            try:
+                bytes(byte_of[c] for c in token).decode()
+            except (KeyError, UnicodeDecodeError) as e:
+                self.is_byte[i] = isinstance(e, UnicodeDecodeError)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, np.uint16) for x in self.tokeniser.encode(texts)]
+
+
+_tools: dict[str, Pieces | ByteLevel] = {}
+
+
+def tool(path: str) -> Pieces | ByteLevel:
+    if path not in _tools:
+        _tools[path] = (Pieces if path.endswith(".model") else ByteLevel)(path)
+    return _tools[path]
+
+
+def measure(docs: DataFrame, vocabularies: dict[str, str], *, bands: dict[str, dict[str, Band]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per document: the counts, base_failed, the script, each vocabulary's measures, and in_script_band. ``bands``
+    may give a vocabulary's own by its name; else they are those of its kind (a file that ends in .model, or any other)."""
     names = list(vocabularies)
     doubles = [f"{v}_{c}" for v in names for c in ("chars_per_token", "byte_share", "entropy")]
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("language", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("in_script_band", T.BooleanType()), T.StructField("script", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in doubles)])
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.float64()] * len(doubles)
 
     def run(batches):
-        tools = [codec(vocabularies[v]) for v in names]
-        marks = []
-        for c in tools:
-            solid = c.is_byte.copy()
-            solid[[c.lib.piece_to_id(f"<0x{b:02X}>") for b in b"\t\n\x0b\x0c\r "]] = False
-            marks.append(solid)
+        tools = [tool(vocabularies[v]) for v in names]
+        by_script = [(bands or {}).get(v, x.bands) for v, x in zip(names, tools)]
         for batch in batches:
             for part in slices(batch, "t", 1 << 20):
                 texts = [x or "" for x in part.column("t").to_pylist()]
@@ -150,17 +202,18 @@ def measure(docs: DataFrame, vocabularies: dict[str, str], *, bands: dict[str, B
                 for i, text in enumerate(texts):
                     base = base_counts(text)
                     script = script_of(text)
-                    band = bands.get(script, bands["other"])
                     fits, measures = True, []
-                    for ids, solid in zip(coded, marks):
-                        m = token_measures(ids[i], len(text), solid)
-                        fits = fits and m is not None and in_band(m, band)
+                    for ids, x, ranges in zip(coded, tools, by_script):
+                        m = token_measures(ids[i], len(text), x.is_byte)
+                        fits = fits and m is not None and in_band(m, ranges.get(script, ranges["other"]))
                         measures += m or (None, None, None)
                     rows.append((*base, base_fails(base[0], base[4]), fits, script, *measures))
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("l"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names=schema.names)
 
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"), F.coalesce(lang, F.lit("")).alias("l")).mapInArrow(run, schema)
+    lang = F.coalesce(F.concat(F.lit("="), lang), F.lit("null"))  # a key of its own for null
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"), lang.alias("l")).mapInArrow(run, schema)
 
 
 def language_bands(measured: DataFrame, column: str) -> DataFrame:
@@ -175,7 +228,7 @@ def language_bands(measured: DataFrame, column: str) -> DataFrame:
     return quarts.where(F.col("total") >= LEAST).select("language", (F.col("m") - SPREAD[0] * width).alias("low"), (F.col("m") + SPREAD[1] * width).alias("high"))
 
 
-def fertility(docs: DataFrame, vocabularies: dict[str, str], *, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def fertility(docs: DataFrame, vocabularies: dict[str, str], *, bands: dict[str, dict[str, Band]] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``measure`` with ``kept``: the base rule passes, and all measures lie in the script's and the language's bands."""
     measured = durable(measure(docs, vocabularies, bands=bands, id_col=id_col, text_col=text_col, lang_col=lang_col), "fertility")
     kept, drop = ~F.col("base_failed") & F.col("in_script_band"), []
