@@ -2,7 +2,9 @@
 
 A model's compiled character map is a double-array trie followed by its replacement strings. ``Normaliser`` walks it
 with longest-prefix matching and records, for each byte of the normalised text, the source byte it came from;
-``PieceCodec`` projects every piece back through that alignment to the span of source bytes it covers.
+``PieceCodec`` projects every piece back through that alignment to the span of source bytes it covers. A model whose map
+is empty, such as the one of the registered query, aligns every byte with itself but for escaped and added spaces; that
+alignment is made at once (``Normaliser.copied``) instead of byte by byte.
 
 Defined cases: a null text is an empty text; an empty text has no ids and decodes to the empty string; texts are
 never cut; rows with a repeated or null id are encoded one by one.
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PartCache, slices
+from .common import PartCache, slices, small_batches
 
 #: Fixed values of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -118,6 +120,8 @@ class Normaliser:
     def run(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each of them (and the end) the source offset."""
         src = text.encode()
+        if not (self.units or self.symbols or self.squeeze or self.suffix) and self.escape:
+            return self.copied(src)
         out, origin, at = bytearray(), [], 0
         if self.squeeze:
             while at < len(src):
@@ -154,6 +158,18 @@ class Normaliser:
         return bytes(out), np.array([*origin, at], np.int64)
 
 
+    def copied(self, src: bytes) -> tuple[bytes, np.ndarray]:
+        """``run`` of a model without a character map: every byte stands for itself, but for the escaped spaces."""
+        if not src:
+            return b"", np.zeros(1, np.int64)
+        width = np.ones(len(src) + 1, np.int64)
+        width[:-1][np.frombuffer(src, np.uint8) == 32] = len(self.space)
+        origin = np.repeat(np.arange(len(src) + 1), width)
+        if self.dummy_prefix:
+            origin = np.concatenate([np.zeros(len(self.space), np.int64), origin])
+        return self.space * self.dummy_prefix + src.replace(b" ", self.space), origin
+
+
 class PieceCodec:
     """Encodes texts to ids with the source span of each, and decodes ids."""
 
@@ -169,7 +185,9 @@ class PieceCodec:
         # character; then such parts of a text can be encoded one by one and remembered.
         free = all(META not in p.lstrip(META) and "\n" not in p for p, kind in model.pieces if kind == NORMAL)
         self.by_parts = free and model.model_type == 2 and not model.charsmap and model.dummy_prefix and model.escape and not model.squeeze and not model.suffix and not symbols and any(k == BYTE for _, k in model.pieces) and all(k != UNUSED for _, k in model.pieces)
-        self.width = np.array([1 if kind == BYTE else len(p.replace(META, " ").encode()) for p, kind in model.pieces], np.int64)
+        # how many normalised bytes each piece stands for
+        self.width = np.array([1 if kind == BYTE else len(p.encode()) for p, kind in model.pieces], np.int64)
+        self.unknown = np.array([kind == UNKNOWN for _, kind in model.pieces])
         self.is_byte = np.array([kind == BYTE for _, kind in model.pieces])
         self.alone = np.array([self.lib.piece_to_id(META)], np.int32).tobytes()
 
@@ -189,13 +207,15 @@ class PieceCodec:
         return [np.frombuffer(next(done), np.int32) if ok else np.array(self.lib.encode(t), np.int32) for t, ok in zip(texts, plain)]
 
     def ends(self, text: str, ids: np.ndarray) -> np.ndarray:
-        """Where each piece's source bytes end; it begins where the one before it ends. An added space covers none."""
-        if self.by_parts and META not in text:
-            return np.maximum(np.cumsum(self.width[ids]) - 1, 0).astype(np.int32)
-        data, origin = self.norm.run(text)
-        pieces = self.lib.encode(text, out_type=str)
-        size = np.array([1 if self.is_byte[i] else len(p.encode()) for i, p in zip(ids, pieces)], np.int64)
-        return origin[np.cumsum(size)].astype(np.int32) if len(size) else np.zeros(0, np.int32)
+        """Where each piece's source bytes end, through the alignment of the normalised text; it begins where the one
+        before it ends. An added space covers none."""
+        if not len(ids):
+            return np.zeros(0, np.int32)
+        size = self.width[ids]
+        if self.unknown[ids].any():  # an unknown piece stands for what it shows
+            pieces = self.lib.encode(text, out_type=str)
+            size = np.array([n if not u else len(p.encode()) for n, u, p in zip(size, self.unknown[ids], pieces)], np.int64)
+        return self.norm.run(text)[1][np.cumsum(size)].astype(np.int32)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return [self.lib.decode(i.tolist()) if len(i) else "" for i in ids]
@@ -213,6 +233,8 @@ def codec(path: str) -> PieceCodec:
 def encode_pieces(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids, ends, decoded) for each row: the ids, the source byte where each piece ends, and decode(ids)."""
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         c = codec(vocabulary)
         for batch in batches:

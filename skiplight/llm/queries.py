@@ -20,6 +20,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The share of all documents, best first, that the ranking keeps.
+KEPT_SHARE = 0.7
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +33,7 @@ def op1_winnowed_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility(table(spark, sf_dir, "documents"), {"pieces": PIECES})
+    return fertility(table(spark, sf_dir, "documents"), {"pieces": PIECES, "bytes": BYTE_BPE})
 
 
 def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +64,8 @@ def crc_fold(column: str, parts: int):
 def op6_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ranker = quality.train(docs, table(spark, sf_dir, "labels"), crc_fold("k", 3) != 1)
-    out = quality.score(docs, ranker)
-    return out.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rank")
+    out = quality.keep_best(durable(quality.score(docs, ranker), "ranks"), KEPT_SHARE)
+    return out.select("doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rank", "kept")
 
 
 def op7_weighted_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +87,9 @@ def op9_poisson_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(table(spark, sf_dir, "documents"), PIECES)
-    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    # the last piece's end is the text's length in bytes: what the spans cover
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
+    listed = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    # spans follow each other, so their ends tell them all; the last is the text's length in bytes
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), listed("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), listed("ends").alias("ends_sha256"), F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("covered_bytes"))
 
 
 QUERIES = {f.__name__: f for f in (op1_winnowed_line_dedup, op2_tokeniser_fertility, op3_balanced_postings, op4_arc_to_warc, op5_superminhash, op6_bradley_terry, op7_weighted_lexicon, op8_rans_token_blocks, op9_poisson_replication, op10_piece_offsets)}

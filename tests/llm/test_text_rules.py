@@ -1,15 +1,19 @@
 """Fertility, quality and toxicity against brute force, planted cases and held-out accuracy."""
 
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 
 from skiplight.llm import quality, toxicity
-from skiplight.llm.fertility import BANDS, Band, base_counts, fertility, in_band, script_of
-from skiplight.llm.queries import PIECES, QUERIES, crc_fold
+from skiplight.llm.fertility import BANDS, BYTE_BANDS, Band, base_counts, fertility, in_band, script_of
+from skiplight.llm.pieces import PieceCodec
+from skiplight.llm.queries import BYTE_BPE, KEPT_SHARE, PIECES, QUERIES, crc_fold
+from skiplight.llm.token_blocks import ChunkTokeniser
 from tests.conftest import SF
 
 from .conftest import PROSE
@@ -66,6 +70,59 @@ def test_fertility_cases(docs_of):
     assert fertility(docs_of([]), {"pieces": PIECES}).collect() == []
 
 
+def brute_measures(ids, text, odd):
+    """Characters per token, byte share, mean entropy of windows of 64 tokens."""
+    wide = min(64, len(ids))
+    blocks = [ids[a : a + wide] for a in range(0, len(ids) - wide + 1, wide)]
+    entropy = [-sum(n / wide * math.log2(n / wide) for n in Counter(b).values()) for b in blocks]
+    return len(text) / len(ids), sum(i in odd for i in ids) / len(ids), sum(entropy) / len(entropy)
+
+
+def brute_bands(rows, column):
+    """The accepted range by language: quartiles on the grid."""
+    out = {}
+    for lang in {r["lang"] for r in rows}:
+        cells = sorted(math.floor(r[column] / 0.005) for r in rows if r["lang"] == lang and not r["base_failed"] and r[column] is not None)
+        if len(cells) >= 50:
+            a, m, b = (cells[math.ceil(q * len(cells)) - 1] * 0.005 for q in (0.25, 0.5, 0.75))
+            w = max(b - a, 0.02)
+            out[lang] = (m - 3 * w, m + 5 * w)
+    return out
+
+
+def test_fertility_equals_brute_force(docs_of, spark):
+    rng = random.Random(6)
+    words = PROSE.split()
+    texts = [" ".join(rng.choices(words, k=rng.choice([60, 90, 150]))) for _ in range(140)]
+    texts += [" ".join("".join(rng.choices("bcdfgkzxq", k=9)) for _ in range(70)), " ".join(rng.choices("ж щ ю日本ñé", k=90)), " ".join(["ab"] * 60 + words), None, ""]
+    langs = ["en"] * 70 + [None] * 60 + [""] * (len(texts) - 130)
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    got = sorted((r.asDict() for r in fertility(docs, {"pieces": PIECES, "bytes": BYTE_BPE}).collect()), key=lambda r: r["doc_id"])
+    one, two = PieceCodec(PIECES).lib, ChunkTokeniser(BYTE_BPE)
+    odd = {"pieces": {one.piece_to_id(f"<0x{b:02X}>") for b in range(256) if b not in b" \t\n\x0b\x0c\r"}}
+    back = {c: b for b, c in two.alphabet.items()}
+    odd["bytes"] = {i for t, i in two.lib.get_vocab().items() if all(c in back for c in t) and "\ufffd" in bytes(back[c] for c in t).decode(errors="replace")}
+    for r, t, g in zip(got, texts, langs):
+        r["lang"] = g
+        coded = {"pieces": one.encode(t or ""), "bytes": two.lib.encode(t or "").ids}
+        for v, ids in coded.items():
+            want = brute_measures(ids, t, odd[v]) if ids else (None,) * 3
+            for c, x in zip(("chars_per_token", "byte_share", "entropy"), want):
+                assert x is None and r[f"{v}_{c}"] is None or abs(r[f"{v}_{c}"] - x) < 1e-9, (t, v, c)
+    ranges = {f"{v}_{c}": brute_bands(got, f"{v}_{c}") for v in odd for c in ("chars_per_token", "entropy")}
+    assert ranges["bytes_entropy"].keys() == {"en", None}  # a null language is one; "" has too few documents
+    for r in got:
+        fits = not r["base_failed"]
+        for v, kind in (("pieces", BANDS), ("bytes", BYTE_BANDS)):
+            m = tuple(r[f"{v}_{c}"] for c in ("chars_per_token", "byte_share", "entropy"))
+            fits = fits and None not in m and in_band(m, kind.get(r["script"], kind["other"]))
+            for c in ("chars_per_token", "entropy"):
+                low, high = ranges[f"{v}_{c}"].get(r["lang"], (-1e9, 1e9))
+                fits = fits and low <= r[f"{v}_{c}"] <= high
+        assert r["kept"] == fits, r
+    assert 100 < sum(r["kept"] for r in got) < 141
+
+
 def test_scripts():
     assert [script_of(t) for t in ("plain", "Größe", "Привет мир", "日本語の文", "", "123")] == ["latin", "latin", "cyrillic", "han", "latin", "latin"]
     assert in_band((4.0, 0.0, 5.0), BANDS["latin"]) and not in_band((0.9, 0.0, 5.0), BANDS["latin"]) and not in_band((4.0, 0.5, 5.0), Band((1, 9), 0.1, 1))
@@ -83,6 +140,36 @@ def test_folding_and_matching():
     assert load("") == 0 and toxicity.normalised(5, 10_000) < toxicity.normalised(5, 10)
 
 
+def naive_load(text, lex):
+    """Every spelling of every term tried at every place."""
+    t, total = toxicity.fold(text), 0.0
+    edge = lambda a, b: not (a and t[a - 1].isalnum()) and not (b < len(t) and t[b].isalnum())
+    places = lambda s: [(a, a + len(s)) for a in range(len(t)) if t.startswith(s, a) and edge(a, a + len(s))]
+    safe = [p for e in lex.exceptions for p in places(toxicity.fold(e))]
+    spellings = {s: w for term, w in lex.terms.items() for s in toxicity.masked(term)} | lex.terms
+    for s, w in spellings.items():
+        total += sum(w for a, b in places(s) if not any(x <= a and b <= y for x, y in safe))
+    return total
+
+
+def test_matching_equals_a_naive_matcher():
+    f, rng = toxicity.fold, random.Random(7)
+    lex = toxicity.Lexicon({f("idiot"): 3.0, f("trash"): 2.0, f("stupid"): 1.5, f("take"): 0.5, f("out"): 0.25})
+    a = lex.automaton()
+    parts = ["trash", "trash can", "idiot", "1d10t", "st*pid", "*", "stupid\n simple", "take out  the\ttrash", "x", "idiot's guide", "out", "tr*sh can", "idiot proof", ", ", "-"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randint(0, 12)))
+        assert abs(toxicity.load(f(t), a) - naive_load(t, lex)) < 1e-9, t
+
+
+def test_long_texts_of_exception_phrases_take_linear_time():
+    lex = toxicity.Lexicon({toxicity.fold("trash"): 2.0})
+    a, text = lex.automaton(), toxicity.fold("trash can x " * 170_000 + "trash")
+    start = time.process_time()
+    assert toxicity.load(text, a) == 2.0
+    assert time.process_time() - start < 20
+
+
 def test_toxicity_query_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in QUERIES["op7_weighted_lexicon"](spark, d).collect()}
@@ -123,6 +210,9 @@ def test_quality_query_held_out(spark):
     got = {r["doc_id"]: r for r in QUERIES["op6_bradley_terry"](spark, d).collect()}
     assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) and 0 <= r["score"] <= 1 for i, r in got.items())
+    ranks = sorted(r["rank"] for r in got.values())
+    cut = ranks[round(len(ranks) * (1 - KEPT_SHARE))]
+    assert all(r["kept"] == (r["rank"] >= cut) for r in got.values() if abs(ranks.index(r["rank"]) - ranks.index(cut)) > 3)
     labels = [(r["quality"], got[r["doc_id"]]["predicted"]) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if got[r["doc_id"]]["held_out"]]
     assert sum(a == b for a, b in labels) / len(labels) > 0.95
 

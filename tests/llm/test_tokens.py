@@ -146,6 +146,16 @@ def test_odd_pieces(docs_of):
     assert encode_pieces(docs_of([]), PIECES).collect() == []
 
 
+@settings(max_examples=100, deadline=None)
+@given(words, st.booleans())
+def test_alignment_at_once_equals_byte_by_byte(text, prefix):
+    n = Normaliser(dummy_prefix=prefix, squeeze=False)
+    slow = Normaliser(dummy_prefix=prefix, squeeze=False, symbols=("\x00",))
+    (a, x), (b, y) = n.run(text), slow.run(text)
+    begins = [i for i in range(len(a) + 1) if i == len(a) or a[i] & 0xC0 != 0x80]
+    assert a == b and x[begins].tolist() == y[begins].tolist() and len(x) == len(y)
+
+
 def test_compiled_character_map():
     """Normalisation by the map of a public rule equals the library's, with the same alignment."""
     import sentencepiece
