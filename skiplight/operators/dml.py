@@ -32,11 +32,15 @@ class Changes:
     @contextmanager
     def _moving(self, table: Table, groups: Iterable[int]):
         groups = list(groups)
+        before = table.groups, table.next_rid, table.version, dict(table.streams)
         self.store.remove_groups(table.oid, groups)
         try:
             yield
             table.version += 1
             save_manifest(self.spark, table)
+        except BaseException:
+            table.groups, table.next_rid, table.version, table.streams = before
+            raise
         finally:
             self.store.remove_groups(table.oid, groups)
             self.on_change(table)
@@ -51,9 +55,12 @@ class Changes:
         live = {g: w for g, w in table.groups.items() if g not in groups}
         table.groups = live | {g: write for g in made}
 
-    def insert(self, table: Table, rows: DataFrame, order_by: list[str] | None = None) -> int:
-        """Append rows; columns are taken by name. Returns how many."""
+    def insert(self, table: Table, rows: DataFrame, order_by: list[str] | None = None, *, batch: tuple[str, int] | None = None) -> int:
+        """Append rows; columns are taken by name. Returns how many; none if the table already holds this batch of a
+        stream."""
         with table.lock:
+            if batch and table.streams.get(batch[0], -1) >= batch[1]:
+                return 0
             typed = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema))
             numbered, n = with_row_ids(typed, table.next_rid, order_by)
             if not n:
@@ -65,6 +72,8 @@ class Changes:
             with self._moving(table, touched):
                 self._replace(table, tail, numbered)
                 table.next_rid += n
+                if batch:
+                    table.streams[batch[0]] = batch[1]
             return n
 
     def delete(self, table: Table, condition: Column | None) -> int:
@@ -97,10 +106,11 @@ class Changes:
     def merge(self, table: Table, source: DataFrame, on: Column, *, matched=(), not_matched=(), target_alias: str | None = None, source_alias: str = "src") -> tuple[int, int]:
         """Merge a source. ``matched``: (condition or None, assignments or None for delete) in order; ``not_matched``:
         (condition or None, values). The first clause whose condition holds counts. A target row that several source
-        rows match is an error. Returns groups touched and rows inserted."""
+        rows match is an error. The source is evaluated once, and both parts become visible by one move of the snapshot.
+        Returns groups touched and rows inserted."""
         name = target_alias or table.name
         with table.lock:
-            source = source.alias(source_alias)
+            source = source.checkpoint().alias(source_alias)
             target = rows_of(self.spark, table).alias(name)
             groups, inserted = [], None
             if not_matched:
@@ -116,13 +126,13 @@ class Changes:
                         value = F.when(F.col("__clause") == i, values.get(f.name, F.lit(None))).otherwise(value)
                     columns.append(value.cast(f.dataType).alias(f.name))
                 inserted = fresh.select(*columns)
-                inserted = inserted.checkpoint() if self.spark.sparkContext.getCheckpointDir() else inserted.persist()
             if matched:
                 hits = target.join(source, on).select(F.col(f"{name}.{RID}").alias(RID), F.col(f"{name}.{GROUP}").alias(GROUP))
                 counts = hits.groupBy(RID, GROUP).count()
                 if counts.where("count > 1").limit(1).count():
                     raise ValueError("a target row is matched by more than one source row")
                 groups = self._groups_of(hits)
+            parts, touched, tail, n = [], [], [], 0
             if groups:
                 own = rows_of(self.spark, table, groups).alias(name)
                 joined = own.join(source.withColumn("__hit", F.lit(True)).alias(source_alias), on, "left")
@@ -140,9 +150,23 @@ class Changes:
                         if a and f.name in a:
                             value = F.when(F.col("__clause") == i, a[f.name].cast(f.dataType)).otherwise(value)
                     columns.append(value.alias(f.name))
-                with self._moving(table, groups):
-                    self._replace(table, groups, joined.select(*columns, F.col(f"{name}.{RID}").alias(RID)))
-            return len(groups), self.insert(table, inserted) if inserted is not None else 0
+                parts.append(joined.select(*columns, F.col(f"{name}.{RID}").alias(RID)))
+            if inserted is not None:
+                numbered, n = with_row_ids(inserted, table.next_rid, None)
+            if n:
+                touched = list(table.geometry.groups_of_range(table.next_rid, n))
+                tail = [g for g in touched if g in table.groups and g not in groups]
+                parts.append(numbered)
+                if tail:
+                    parts.append(rows_of(self.spark, table, tail).select(*table.columns, RID))
+            if parts:
+                rows = parts[0]
+                for part in parts[1:]:
+                    rows = rows.unionByName(part)
+                with self._moving(table, sorted({*groups, *touched})):
+                    self._replace(table, [*groups, *tail], rows)
+                    table.next_rid += n
+            return len(groups), n
 
     def upsert(self, table: Table, source: DataFrame, keys: list[str], *, update: dict[str, Column] | None = None, ignore: bool = False) -> tuple[int, int]:
         """Insert rows, or where the keys exist already update them (all other columns, or ``update``) or ignore them."""
@@ -159,4 +183,5 @@ class Changes:
             self.store.remove_table(table.oid)
             table.oid, table.groups, table.next_rid = oid, {}, 0
             table.version += 1
+            save_manifest(self.spark, table)
             self.on_change(table)

@@ -37,6 +37,9 @@ class Table:
     version: int = 0
     writes: int = 0
     indexed: bool = False
+    keys: list[str] = field(default_factory=list)
+    #: the last batch that each stream has appended
+    streams: dict[str, int] = field(default_factory=dict)
     groups: dict[int, int] = field(default_factory=dict)
     lock: threading.RLock = field(default_factory=threading.RLock)
 
@@ -61,12 +64,19 @@ def write_groups(table: Table, rows: DataFrame) -> int:
     """Write rows that have ``__rid``: one file for each group, one page for each vector. Returns the write's number."""
     g = table.geometry
     table.writes += 1
+    while _exists(table, rows.sparkSession):  # what a failed write of an earlier session left
+        table.writes += 1
     placed = rows.select(*table.columns, RID, F.floor(F.col(RID) / g.vector_size).cast("long").alias(VECTOR), F.floor(F.col(RID) / g.row_group_size).cast("int").alias(GROUP))
     writer = placed.repartition(F.col(GROUP)).sortWithinPartitions(GROUP, RID).write.partitionBy(GROUP)
     writer.option("parquet.page.row.count.limit", g.vector_size).option("parquet.block.row.count.limit", max(g.row_group_size, 1)).parquet(f"{table.path}/{WRITE}={table.writes}")
     return table.writes
 
 
+def _exists(table: Table, spark: SparkSession) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{WRITE}={table.writes}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def written_groups(spark: SparkSession, table: Table, write: int) -> list[int]:
     """Groups that a write made, from the names of its folders."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{WRITE}={write}")
@@ -84,7 +94,7 @@ def with_row_ids(rows: DataFrame, first: int, order_by: list[str] | None) -> tup
     """
     ordered = rows.orderBy(*order_by) if order_by else rows
     numbered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    held = numbered.checkpoint() if numbered.sparkSession.sparkContext.getCheckpointDir() else numbered.persist()
+    held = numbered.checkpoint()
     counts = dict(held.groupBy("__p").count().collect())
     offsets, before = [], first
     for p in sorted(counts):
@@ -129,7 +139,7 @@ class Catalog:
 
 def save_manifest(spark: SparkSession, table: Table) -> None:
     """Write the snapshot beside the data, so that a table can be opened again by ``load_manifest``."""
-    body = {"name": table.name, "schema": table.schema.jsonValue(), "row_group_size": table.geometry.row_group_size, "vector_size": table.geometry.vector_size, "next_rid": table.next_rid, "version": table.version, "writes": table.writes, "indexed": table.indexed, "groups": sorted(table.groups.items())}
+    body = {"name": table.name, "schema": table.schema.jsonValue(), "row_group_size": table.geometry.row_group_size, "vector_size": table.geometry.vector_size, "next_rid": table.next_rid, "version": table.version, "writes": table.writes, "indexed": table.indexed, "keys": table.keys, "streams": table.streams, "groups": sorted(table.groups.items())}
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{table.path}/_snapshot-{table.version:08d}.json")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
@@ -146,7 +156,7 @@ def load_manifest(spark: SparkSession, catalog: Catalog, path: str) -> Table:
     if not names:
         raise ValueError(f"no snapshot under {path}")
     body = json.loads(_read(spark, f"{path}/{names[-1]}"))
-    table = Table(body["name"], catalog.next_oid(), path.rstrip("/"), StructType.fromJson(body["schema"]), Geometry(body["row_group_size"], body["vector_size"]), body["next_rid"], body["version"], body["writes"], body["indexed"], {g: w for g, w in body["groups"]})
+    table = Table(body["name"], catalog.next_oid(), path.rstrip("/"), StructType.fromJson(body["schema"]), Geometry(body["row_group_size"], body["vector_size"]), body["next_rid"], body["version"], body["writes"], body["indexed"], body.get("keys", []), body.get("streams", {}), {g: w for g, w in body["groups"]})
     catalog.tables[table.name] = table
     return table
 

@@ -11,14 +11,12 @@ from ..engine import Engine
 def append_stream(engine: Engine, stream: DataFrame, table: str, checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
     """Insert each micro-batch; cached groups of the table's tail are invalidated as by any insert.
 
-    A batch that Spark repeats after a failure isn't inserted twice in one session: batch numbers are remembered.
+    The table's snapshot names the last batch of each stream (by its checkpoint) and moves together with the rows, so a
+    batch that Spark repeats after a failure or a restart isn't inserted twice.
     """
-    done: set[int] = set()
 
     def write(batch: DataFrame, number: int) -> None:
-        if number not in done:
-            engine.insert(table, batch)
-            done.add(number)
+        engine.insert(table, batch, batch=(checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

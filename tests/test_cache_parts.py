@@ -1,13 +1,14 @@
 """Geometry, bitmaps, entries, the store and the generated predicate: no Spark."""
 
 import random
+import re
 
 import pytest
 
 from skiplight.functions.bitmaps import VectorBitmap, unsigned
 from skiplight.geometry import Geometry
 from skiplight.operators.store import CacheEntry, CacheKey, CacheStats, CacheStore
-from skiplight.plans.pruning import IN_LIMIT, pruning_predicate, runs_of
+from skiplight.plans.pruning import IN_LIMIT, joined_runs, pruning_predicate, runs_of
 
 G = Geometry()
 
@@ -124,7 +125,16 @@ def test_predicate_is_bounded():
     geometry = Geometry(4096 * 4, 4)
     bits = sum(1 << i for i in range(0, 4096, 2))
     sql = pruning_predicate({0: bits, 1: 0}, [0, 1], geometry)
-    assert "__vid" not in sql and "__rg" in sql
+    assert sql.count(" OR ") < 500 and "__rg" in sql
+    assert all(holds(sql, 0, v) for v in range(0, 4096, 2))
+    # 5,000 scattered vectors: the nearest are joined, all are kept, and most of the others still fall away
+    wide, chosen = Geometry(200_000 * 4, 4), sorted(random.Random(1).sample(range(200_000), 5000))
+    sql = pruning_predicate({0: sum(1 << v for v in chosen)}, [0], wide)
+    low = [tuple(map(int, x)) for x in re.findall(r"__vid >= (\d+) AND __vid <= (\d+)", sql)]
+    single = {int(x) for part in re.findall(r"IN \(([^)]*)\)", sql) for x in part.split(", ")}
+    held = single | {v for a, b in low for v in range(a, b + 1)}
+    assert held >= set(chosen) and len(low) + len(single) <= 500 and len(held) < 170_000
+    assert joined_runs([(0, 1), (5, 6), (8, 8), (20, 30)], 2) == [(0, 8), (20, 30)]
     few = sum(1 << 2 * i for i in range(IN_LIMIT))
     assert "__vid IN" in pruning_predicate({0: few}, [0], geometry)
     assert runs_of([3, 1, 2, 7]) == [(1, 3), (7, 7)]

@@ -223,6 +223,88 @@ def test_tables_can_be_opened_again(spark, tmp_path):
     assert one(second, "SELECT max(rowid) FROM kept") == 100
 
 
+def test_every_change_can_be_opened_again(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    first = Engine(spark, root=root, geometry=Geometry(64, 8))
+    table = first.create_table("d", spark.range(100).selectExpr("id", "id % 7 AS v"), primary_key=["id"])
+
+    def again(sql="SELECT count(*), sum(v) FROM d"):
+        second = Engine(spark, root=root)
+        second.open_table(table.path)
+        return rows(second, sql)[0]
+
+    for change in ("INSERT INTO d VALUES (200, 3)", "UPDATE d SET v = 100 WHERE id = 5", "DELETE FROM d WHERE id BETWEEN 10 AND 20", "INSERT INTO d VALUES (200, 9), (201, 9) ON CONFLICT (id) DO NOTHING", "MERGE INTO d USING (SELECT 1 AS id UNION ALL SELECT 777) s ON d.id = s.id WHEN MATCHED THEN DELETE WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, 1)", "TRUNCATE TABLE d"):
+        first.sql(change)
+        assert again() == rows(first, "SELECT count(*), sum(v) FROM d")[0], change
+    assert again()[0] == 0
+    first.sql("INSERT INTO d VALUES (1, 1)")
+    second = Engine(spark, root=root)
+    second.open_table(table.path)
+    second.sql("INSERT INTO d VALUES (1, 5), (2, 6) ON CONFLICT DO NOTHING")  # the snapshot knows the key
+    assert rows(second, "SELECT count(*), sum(v) FROM d")[0] == (2, 7)
+    empty = first.create_table("nothing", spark.range(0))
+    second.open_table(empty.path)
+    assert one(second, "SELECT count(*) FROM nothing") == 0
+
+
+def test_a_merge_is_seen_as_a_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    from skiplight.operators import dml
+
+    engine = Engine(spark, root=f"file://{tmp_path}", geometry=Geometry(64, 8))
+    table = engine.create_table("m", spark.range(100).selectExpr("id", "0 AS v"))
+    text = "MERGE INTO m USING (SELECT id FROM range(90, 110)) s ON m.id = s.id WHEN MATCHED THEN UPDATE SET v = 1 WHEN NOT MATCHED THEN INSERT (id, v) VALUES (s.id, 2)"
+    for name in ("write_groups", "written_groups", "save_manifest"):
+        with monkeypatch.context() as m:
+            m.setattr(dml, name, lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                engine.sql(text)
+        second = Engine(spark, root=f"file://{tmp_path}")
+        second.open_table(table.path)
+        assert rows(second, "SELECT count(*), sum(v) FROM m") == rows(engine, "SELECT count(*), sum(v) FROM m") == [(100, 0)], name
+        engine = second if name == "written_groups" else engine
+    engine.sql(text)
+    assert rows(engine, "SELECT count(*), sum(v), max(rowid) FROM m") == [(110, 30, 109)]
+
+
+def test_a_source_of_a_merge_is_evaluated_once(spark, tmp_path):
+    engine = Engine(spark, root=f"file://{tmp_path}", geometry=Geometry(64, 8))
+    table = engine.create_table("r", spark.range(50).selectExpr("id", "0 AS v"))
+    source = spark.range(40).select((F.rand() * 100).cast("long").alias("id")).distinct().alias("s")
+    touched = engine.changes.merge(table, source, F.col("r.id") == F.col("s.id"), matched=[(None, {"v": F.lit(1)})], not_matched=[(None, {"id": F.col("s.id"), "v": F.lit(2)})], source_alias="s")
+    n, distinct = rows(engine, "SELECT count(*), count(DISTINCT id) FROM r")[0]
+    assert n == distinct == 50 + touched[1]  # a source that changes between its uses would insert ids that exist
+
+
+def test_a_stream_resumes_where_its_table_is(spark, tmp_path):
+    first = Engine(spark, root=f"file://{tmp_path}")
+    table = first.create_table("s", spark.range(10))
+    assert first.insert("s", spark.range(5), batch=("q", 0)) == 5
+    second = Engine(spark, root=f"file://{tmp_path}")
+    second.open_table(table.path)
+    assert second.insert("s", spark.range(5), batch=("q", 0)) == 0 and second.insert("s", spark.range(5), batch=("p", 0)) == 5
+    assert second.insert("s", spark.range(5), batch=("q", 1)) == 5 and one(second, "SELECT count(*) FROM s") == 25
+
+
+def test_queries_and_changes_from_several_threads(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    engine = Engine(spark, geometry=Geometry(512, 64))
+    engine.create_table("c", spark.range(4000).selectExpr("id", "id % 10 AS v"))
+
+    def work(i):
+        if i % 3 == 0:
+            engine.sql(f"DELETE FROM c WHERE id = {i}")
+        elif i % 3 == 1:
+            engine.insert("c", spark.range(1).selectExpr(f"CAST({10_000 + i} AS BIGINT) AS id", "CAST(3 AS BIGINT) AS v"))
+        return one(engine, "SELECT count(*) FROM c WHERE v = 3")
+
+    with ThreadPoolExecutor(4) as pool:
+        seen = list(pool.map(work, range(12)))
+    assert all(398 <= n <= 404 for n in seen)
+    assert one(engine, "SELECT count(*) FROM c WHERE v = 3") == 400 - sum(i % 10 == 3 for i in range(0, 12, 3)) + 4
+    assert one(engine, "SELECT count(*) FROM c") == 4000
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.log").write_text("2016-10-22 13:28:13,003 INFO org.apache.Foo: blk_1 added\nnoise\n2016-10-22 13:28:14,004 WARN Bar: lost: blk_2\n")
     got = [tuple(r) for r in read_logs(spark, str(tmp_path / "a.log")).orderBy("Time").collect()]
