@@ -49,7 +49,9 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return restored(numbered(replicate(docs)), docs)
+    # under numbered names no column of the input gives way to those that are added
+    mixed = replicate(numbered(docs), id_col=place(docs, "doc_id"), source_col=place(docs, "source"), text_col=place(docs, "text"))
+    return restored(mixed, docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
