@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .geometry import Geometry
-from .sources.readers import parse_log
+from .sources.readers import parse_log, read_csv, with_event_times
 from .streaming.sink import append_stream
 
 #: Small tables need small groups to have several.
@@ -40,6 +40,12 @@ def held(spark: SparkSession, sf_dir: str, name: str) -> str:
     return _held[key]
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A folder for what a query writes: under the shared one, or a temporary one where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/skiplight-{name}" if base else "file://" + tempfile.mkdtemp(prefix=f"skiplight-{name}-")
+
+
 def fresh(spark: SparkSession, sf_dir: str, name: str, as_name: str) -> Engine:
     """An engine in which ``as_name`` is a new copy of a table."""
     e = engine_of(spark)
@@ -257,8 +263,111 @@ def streaming_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.create_table("streamed", rows.limit(0))
     text = "SELECT event_type, count(*) AS n FROM streamed WHERE event_id % 2 = 0 GROUP BY event_type"
     e.sql(text).collect()
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    own = f"{base.rstrip('/')}/skiplight-stream" if base else "file://" + tempfile.mkdtemp(prefix="skiplight-stream-")
+    own = own_path(spark, "stream")
     stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
     append_stream(e, stream, "streamed", f"{own}/{spark.sparkContext.applicationId}-{len(e.catalog.tables)}-{e.catalog._last_oid}").awaitTermination()
     return e.sql(text)
+
+
+@query("""
+WITH r AS (SELECT range AS id, range % 100 AS val, range // 8192 AS g, range // 512 AS v FROM range(500000)),
+p AS (SELECT 'val = 42' AS predicate, g, v, val = 42 AS hit FROM r UNION ALL SELECT 'id < 3000', g, v, id < 3000 FROM r)
+SELECT predicate, 'Cache Built: ' || count(DISTINCT v) FILTER (hit) || '/' || count(DISTINCT v) || ' vectors, ' || count(DISTINCT g) FILTER (hit) || '/' || count(DISTINCT g) || ' row groups' AS status FROM p GROUP BY predicate""")
+def cache_build_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds over a table made of a range: a predicate that matches everywhere, and one that matches at the start."""
+    e = engine_of(spark)
+    e.drop_table("range_rows", if_exists=True)
+    e.sql("CREATE TABLE range_rows AS SELECT id, id % 100 AS val FROM range(500000)")
+    first, second = (e.condition_cache_build("range_rows", p).select(F.lit(p).alias("predicate"), "status") for p in ("val = 42", "id < 3000"))
+    return first.union(second)
+
+
+@query("SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS least FROM customer WHERE c_acctbal > 5000 GROUP BY c_mktsegment")
+def csv_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV, read from it, ingested and queried."""
+    e, rows = engine_of(spark), spark.read.parquet(f"{sf_dir}/customer.parquet")
+    path = f"{own_path(spark, 'csv')}/{spark.sparkContext.applicationId}-{e.catalog._last_oid}"
+    rows.write.csv(path, header=True, mode="overwrite")
+    e.drop_table("csv_customer", if_exists=True)
+    e.create_table("csv_customer", read_csv(spark, path, rows.schema), order_by=["c_custkey"])
+    text = "SELECT c_mktsegment, count(*) AS n, min(c_acctbal) AS least FROM csv_customer WHERE c_acctbal > 5000 GROUP BY c_mktsegment"
+    e.sql(text)
+    return e.sql(text)
+
+
+@query("""
+WITH o AS (SELECT CAST(count(*) AS VARCHAR) AS n FROM orders)
+SELECT 'delete' AS change, 'INVALIDATE' AS mode, '__rid' AS row_id_column, '' AS pre_insert_rows UNION ALL SELECT 'update', 'INVALIDATE', '__rid', ''
+UNION ALL SELECT 'insert', 'INSERT', '', n FROM o UNION ALL SELECT 'merge', 'MERGE', '__rid', n FROM o UNION ALL SELECT 'upsert', 'MERGE', '__rid', n FROM o""")
+def explain_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the explanations of changes say, one row a statement, '' where they say nothing. Nothing is changed."""
+    e, t = engine_of(spark), held(spark, sf_dir, "orders")
+    statements = {
+        "delete": f"DELETE FROM {t} WHERE o_orderkey < 10",
+        "update": f"UPDATE {t} SET o_totalprice = 0 WHERE o_orderkey < 10",
+        "insert": f"INSERT INTO {t} SELECT * FROM {t}",
+        "merge": f"MERGE INTO {t} AS d USING {t} AS s ON d.o_orderkey = s.o_orderkey WHEN MATCHED THEN DELETE",
+        "upsert": f"INSERT INTO {t} SELECT * FROM {t} ON CONFLICT (o_orderkey) DO NOTHING",
+    }
+    rows = []
+    for name, text in statements.items():
+        said = dict(line.split(": ", 1) for line in e.explain_dml(text).split("\n")[1:])
+        rows.append((name, said["Mode"], said.get("Row ID Column", ""), said.get("Pre-insert Rows", "")))
+    return spark.createDataFrame(rows, "change string, mode string, row_id_column string, pre_insert_rows string")
+
+
+@query("""
+SELECT (SELECT count(*) FROM orders WHERE o_orderkey < 2000) AS n, CAST(0 AS INTEGER) AS automatic, CAST(count(DISTINCT v) AS INTEGER) AS by_hand
+FROM (SELECT *, rid // 512 AS v FROM """ + _numbered("orders", "o_orderkey") + """) WHERE o_orderkey < 2000""")
+def indexed_by_hand_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table with a key gets no entry from a query, and one from a build by hand."""
+    e = engine_of(spark)
+    e.drop_table("orders_keyed", if_exists=True)
+    e.create_table("orders_keyed", spark.read.parquet(f"{sf_dir}/orders.parquet"), order_by=["o_orderkey"], primary_key=["o_orderkey"])
+    counted = e.sql("SELECT count(*) AS n FROM orders_keyed WHERE o_orderkey < 2000")
+    vectors = lambda: e.condition_cache_info("orders_keyed", "o_orderkey < 2000").first()["qualifying_vectors"]
+    automatic = vectors()
+    e.condition_cache_build("orders_keyed", "o_orderkey < 2000")
+    return counted.select("n", F.lit(automatic).alias("automatic"), F.lit(vectors()).alias("by_hand"))
+
+
+@query("SELECT count(*) AS n, false AS cached FROM orders WHERE o_orderkey < 2000")
+def unstable_left_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predicate whose value can change without the data leaves no entry; answers are right."""
+    e = fresh(spark, sf_dir, "orders", "orders_unstable")
+    counted = e.sql("SELECT count(*) AS n FROM orders_unstable WHERE o_orderkey < 2000 AND rand() >= 0")
+    return counted.select("n", F.lit(e.store.has_entries(e._table("orders_unstable").oid)).alias("cached"))
+
+
+@query("""
+WITH r AS (SELECT *, rid // 512 AS v FROM """ + _numbered("orders", "o_orderkey") + """)
+SELECT 'F' AS status, CAST(count(DISTINCT v) FILTER (o_orderstatus = 'F') AS INTEGER) AS vectors FROM r UNION ALL SELECT 'O', CAST(0 AS INTEGER)
+UNION ALL SELECT 'P', CAST(count(DISTINCT v) FILTER (o_orderstatus = 'P') AS INTEGER) FROM r""")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three entries under a budget for two: the one that was used least recently is gone."""
+    e = Engine(spark, geometry=SMALL)
+    e.create_table("orders_evicted", spark.read.parquet(f"{sf_dir}/orders.parquet"), order_by=["o_orderkey"])
+    vectors = lambda s: e.condition_cache_info("orders_evicted", f"o_orderstatus = '{s}'").first()["qualifying_vectors"]
+    build = lambda s: e.condition_cache_build("orders_evicted", f"o_orderstatus = '{s}'")
+    build("F")
+    e.store.budget_bytes = 2 * sum(e.store._sizes.values())
+    build("O")
+    vectors("F")  # a look counts as a use
+    build("P")
+    return spark.createDataFrame([(s, vectors(s)) for s in "FOP"], "status string, vectors int")
+
+
+@query("""
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(DISTINCT user_id) AS users, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_second FROM events
+WHERE event_type = 'error' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-02' AND DATE '2024-01-20' GROUP BY CAST(ts AS DATE)""")
+def hits_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web hits whose days and times come as numbers, made here of events, ingested with dates and timestamps."""
+    e = engine_of(spark)
+    day = F.unix_date(F.to_date("ts")).cast("int").alias("EventDate")
+    second = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("seconds")
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id").select(day, second, F.col("user_id").alias("UserID"), F.col("event_type").alias("Kind"))
+    e.drop_table("hits", if_exists=True)
+    e.create_table("hits", with_event_times(raw, day="EventDate", times={"EventTime": "seconds"}))
+    text = "SELECT CAST(EventDate AS STRING) AS day, count(*) AS n, count(DISTINCT UserID) AS users, min(unix_seconds(EventTime)) AS first_second FROM hits WHERE Kind = 'error' AND EventDate BETWEEN DATE '2024-01-02' AND DATE '2024-01-20' GROUP BY EventDate"
+    e.sql(text)
+    return e.sql(text)
