@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.pruning import GROUP, RID
-from ..sources.layout import Table, rows_of, save_manifest, with_row_ids, write_groups, written_groups
+from ..sources.layout import Table, rows_of, save_manifest, with_row_ids, write_groups, write_ordered, written_groups
 from .store import CacheStore
 
 
@@ -62,15 +62,21 @@ class Changes:
             if batch and table.streams.get(batch[0], -1) >= batch[1]:
                 return 0
             typed = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in table.schema))
-            numbered, n = with_row_ids(typed, table.next_rid, order_by)
+            if order_by:
+                made, n = write_ordered(table, typed, order_by)
+            else:
+                numbered, n = with_row_ids(typed, table.next_rid)
             if not n:
                 return 0
             touched = list(table.geometry.groups_of_range(table.next_rid, n))
             tail = [g for g in touched if g in table.groups]
-            if tail:
+            if tail and not order_by:
                 numbered = rows_of(self.spark, table, tail).select(*table.columns, RID).unionByName(numbered)
             with self._moving(table, touched):
-                self._replace(table, tail, numbered)
+                if order_by:
+                    table.groups = table.groups | made
+                else:
+                    self._replace(table, tail, numbered)
                 table.next_rid += n
                 if batch:
                     table.streams[batch[0]] = batch[1]
@@ -152,7 +158,7 @@ class Changes:
                     columns.append(value.alias(f.name))
                 parts.append(joined.select(*columns, F.col(f"{name}.{RID}").alias(RID)))
             if inserted is not None:
-                numbered, n = with_row_ids(inserted, table.next_rid, None)
+                numbered, n = with_row_ids(inserted, table.next_rid)
             if n:
                 touched = list(table.geometry.groups_of_range(table.next_rid, n))
                 tail = [g for g in touched if g in table.groups and g not in groups]

@@ -13,16 +13,24 @@ import threading
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.internal import InternalFunction
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, MapType, StringType, StructField, StructType, VariantType
 
 from ..geometry import Geometry
 from ..plans.pruning import GROUP, RID, VECTOR
+from ..plans.rewrite import column, handle
 
 WRITE = "__v"
 HIDDEN = (RID, VECTOR, WRITE, GROUP)
 
+#: Bytes of rows that one task of an ordered write sorts, so that it needn't spill. Up to BYPASS tasks, Spark deals rows out
+#: without sorting them on the map side; more are made only beyond twice the bytes.
+SORT_BYTES, BYPASS = 128 << 20, 200
+#: Keys sampled to balance an ordered write: for each task, and in all.
+SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 100, 20_000, 400_000
+
 
 @dataclass
 class Table:
@@ -53,7 +61,11 @@ class Table:
 
 def rows_of(spark: SparkSession, table: Table, groups=None) -> DataFrame:
     """All rows of a table (or of some groups) with the hidden columns."""
-    live = {g: w for g, w in table.groups.items() if groups is None or g in groups}
+    return rows_at(spark, table, {g: w for g, w in table.groups.items() if groups is None or g in groups})
+
+
+def rows_at(spark: SparkSession, table: Table, live: dict[int, int]) -> DataFrame:
+    """Rows of groups as certain writes left them."""
     if not live:
         return spark.createDataFrame([], table.stored_schema())
     paths = [f"{table.path}/{WRITE}={w}/{GROUP}={g}" for g, w in sorted(live.items())]
@@ -62,16 +74,107 @@ def rows_of(spark: SparkSession, table: Table, groups=None) -> DataFrame:
 
 def write_groups(table: Table, rows: DataFrame) -> int:
     """Write rows that have ``__rid``: one file for each group, one page for each vector. Returns the write's number."""
+    return _write(table, _placed(table, rows).repartition(F.col(GROUP)))
+
+
+def _placed(table: Table, rows: DataFrame) -> DataFrame:
+    g = table.geometry
+    return rows.select(*(F.col(f"`{c}`") for c in table.columns), RID, F.floor(F.col(RID) / g.vector_size).cast("long").alias(VECTOR), F.floor(F.col(RID) / g.row_group_size).cast("int").alias(GROUP))
+
+
+def _write(table: Table, placed: DataFrame) -> int:
     g = table.geometry
     table.writes += 1
-    while _exists(table, rows.sparkSession):  # what a failed write of an earlier session left
+    while _exists(table, placed.sparkSession):  # what a failed write of an earlier session left
         table.writes += 1
-    placed = rows.select(*table.columns, RID, F.floor(F.col(RID) / g.vector_size).cast("long").alias(VECTOR), F.floor(F.col(RID) / g.row_group_size).cast("int").alias(GROUP))
-    writer = placed.repartition(F.col(GROUP)).sortWithinPartitions(GROUP, RID).write.partitionBy(GROUP)
+    writer = placed.sortWithinPartitions(GROUP, RID).write.partitionBy(GROUP)
     writer.option("parquet.page.row.count.limit", g.vector_size).option("parquet.block.row.count.limit", max(g.row_group_size, 1)).parquet(f"{table.path}/{WRITE}={table.writes}")
     return table.writes
 
 
+def write_ordered(table: Table, rows: DataFrame, order_by: list[str]) -> tuple[dict[int, int], int]:
+    """Write rows by contiguous row ids in the order of ``order_by``, after those the table has. Returns the write of each
+    group and how many rows there are.
+
+    Rows are shuffled once. Bounds, taken from a sample of keys, deal them to tasks; only balance depends on the sample.
+    The rows of each task are counted before from the keys, so that a task knows its first row id and writes its groups
+    as it sorts. A group that two tasks share, or that the table holds a part of already, is put together afterwards.
+    The write counts again: if the rows were dealt otherwise than counted, as an input may whose rows change from one
+    evaluation to the next, it is thrown away and the rows are materialised first.
+    """
+    total = rows.count()
+    if not total:
+        return {}, 0
+    done = _write_ordered(table, rows, order_by, total)
+    if done is None:
+        held = rows.checkpoint()
+        total = held.count()
+        done = _write_ordered(table, held, order_by, total) if total else {}
+    if done is None:
+        raise RuntimeError(f"rows of {table.name} could not be numbered")
+    return done, total
+
+
+def _write_ordered(table: Table, rows: DataFrame, order_by: list[str], total: int) -> dict[int, int] | None:
+    """Groups and their writes, or None if the rows written are not those that were counted."""
+    spark, size = rows.sparkSession, table.geometry.row_group_size
+    bucket, place = (f"__{x}_{uuid.uuid4().hex}" for x in ("bucket", "place"))  # any other name may be a column's
+    bounds = _bounds(rows, order_by, total, size)
+    key = F.struct(*(F.col(k) for k in order_by))
+    found = InternalFunction.array_binary_search(bounds, key) if bounds is not None else F.lit(-1)
+    dealt = rows.withColumn(bucket, F.when(found >= 0, found + 1).otherwise(-1 - found).cast("int"))
+    counts = dict(dealt.groupBy(bucket).count().collect())
+    n = max(counts, default=0) + 1
+    offsets = [table.next_rid]
+    for b in range(n):
+        offsets.append(offsets[-1] + counts.get(b, 0))
+    if offsets[-1] != table.next_rid + total:
+        return None
+    at = F.split(F.lit(",".join(map(str, offsets))), ",").cast("array<bigint>")
+    # the id's low 33 bits count the rows of a task, which has one bucket
+    ordered = dealt.repartitionById(n, F.col(bucket)).sortWithinPartitions(bucket, *order_by)
+    ordered = ordered.withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered, seen = ordered.withColumn(RID, F.element_at(at, F.col(bucket) + 1) + F.col(place)), Observation()
+    numbered = numbered.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(F.col(RID) >= F.element_at(at, F.col(bucket) + 2)).alias("beyond"))
+    write = _write(table, _placed(table, numbered))
+    if seen.get["n"] != total or seen.get["beyond"]:
+        return None
+    made = dict.fromkeys(table.geometry.groups_of_range(table.next_rid, total), write)
+    shared = sorted({table.geometry.group_of(o) for o in offsets[:-1] if o % size} & made.keys())
+    if shared:
+        parts = rows_at(spark, table, dict.fromkeys(shared, write)).unionByName(rows_of(spark, table, shared))
+        made |= dict.fromkeys(shared, write_groups(table, parts.select(*(F.col(f"`{c}`") for c in table.columns), RID)))
+    return made
+
+
+def _bounds(rows: DataFrame, order_by: list[str], total: int, group: int) -> Column | None:
+    """Ascending keys that deal rows to tasks evenly, as an array of structs; None if one task does."""
+    if total <= group:
+        return None
+    spark = rows.sparkSession
+    wanted = min(MOST_SAMPLE, max(LEAST_SAMPLE, SAMPLED * total // max(group, 1 << 20)))
+    wide = (StringType, BinaryType, ArrayType, MapType, StructType, VariantType)
+    width = F.lit(8 * (len(rows.columns) + len(HIDDEN) + 2))
+    for f in rows.schema:
+        if isinstance(f.dataType, wide):
+            own = F.col(f"`{f.name}`")
+            width += 8 + F.coalesce(F.octet_length(own if isinstance(f.dataType, BinaryType) else own.cast("string")), F.lit(0))
+    key = F.struct(*(F.col(k) for k in order_by))
+    keys = rows.select(key.alias("k"), width.alias("w")).sample(min(1.0, wanted / total), 7).agg(F.sort_array(F.collect_list("k")).alias("k"), F.avg("w").alias("w"))
+    row = keys._jdf.head()
+    sample, drawn = row.get(0), row.get(0).size()
+    if not drawn:
+        return None
+    size = total * row.get(1)
+    n = max(min(-(-size // SORT_BYTES), BYPASS), -(-size // (2 * SORT_BYTES)), min(spark.sparkContext.defaultParallelism, total // (4 * group)))
+    n = int(min(n, -(-total // group), drawn))
+    if n < 2:
+        return None
+    picked = [sample.apply(drawn * i // n) for i in range(1, n)]
+    literal = handle(spark, "org.apache.spark.sql.catalyst.expressions.Literal").create(handle(spark, "PythonUtils").toSeq(picked), keys._jdf.schema().apply("k").dataType())
+    return F.array_distinct(F.sort_array(column(spark, literal)))
+
+
 def _exists(table: Table, spark: SparkSession) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.path}/{WRITE}={table.writes}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
@@ -85,15 +188,13 @@ def written_groups(spark: SparkSession, table: Table, write: int) -> list[int]:
     return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{GROUP}="))
 
 
-def with_row_ids(rows: DataFrame, first: int, order_by: list[str] | None) -> tuple[DataFrame, int]:
+def with_row_ids(rows: DataFrame, first: int) -> tuple[DataFrame, int]:
     """``rows`` with contiguous ``__rid`` from ``first``, and how many there are.
 
-    Rows are sorted by ``order_by`` over all partitions, or keep their partitions' order. They are materialised first:
-    counts of partitions give each its offset, and a second evaluation must not deal rows differently. The driver gets
-    one count for each partition.
+    Rows keep their partitions' order. They are materialised first: counts of partitions give each its offset, and a second
+    evaluation must not deal rows differently. The driver gets one count for each partition.
     """
-    ordered = rows.orderBy(*order_by) if order_by else rows
-    numbered = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    numbered = rows.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     held = numbered.checkpoint()
     counts = dict(held.groupBy("__p").count().collect())
     offsets, before = [], first
