@@ -90,3 +90,11 @@ def test_rows_that_differ_at_each_evaluation_are_numbered_once(spark):
     ids = [r[0] for r in rows_of(spark, table).orderBy("id").select(RID).collect()]
     assert ids == list(range(table.next_rid)) and 2000 < len(ids) < 4000
     assert engine.sql("SELECT count(DISTINCT id) FROM ordered").first()[0] == len(ids)
+
+
+def test_a_range_of_keys_is_counted_over_rows_that_were_not_checkpointed(spark):
+    rows, before = spark.read.parquet(f"{SF}/lineitem.parquet"), checkpointed(spark)
+    engine, _ = made(spark, rows, ["l_orderkey", "l_linenumber"])
+    text = "SELECT count(*) FROM ordered WHERE l_orderkey < 1000"
+    assert [engine.sql(text).first()[0] for _ in range(2)] == [rows.where("l_orderkey < 1000").count()] * 2
+    assert checkpointed(spark) == before
