@@ -25,9 +25,10 @@ from ..plans.rewrite import column, handle
 WRITE = "__v"
 HIDDEN = (RID, VECTOR, WRITE, GROUP)
 
-#: Bytes of rows that one task of an ordered write sorts, so that it needn't spill. Up to BYPASS tasks, Spark deals rows out
-#: without sorting them on the map side; more are made only beyond twice the bytes.
-SORT_BYTES, BYPASS = 128 << 20, 200
+#: Bytes of rows that one task of an ordered write sorts, so that it needn't spill; it holds them twice, by keys and by
+#: groups. LEAST_BYTES, or more where OWN groups are larger: a group that two tasks share is written again. Up to BYPASS
+#: tasks, Spark deals rows out without sorting them on the map side; more are made only beyond twice SORT_BYTES.
+LEAST_BYTES, SORT_BYTES, OWN, BYPASS = 32 << 20, 128 << 20, 8, 200
 #: Keys sampled to balance an ordered write: for each task, and in all.
 SAMPLED, LEAST_SAMPLE, MOST_SAMPLE = 100, 20_000, 400_000
 
@@ -166,7 +167,8 @@ def _bounds(rows: DataFrame, order_by: list[str], total: int, group: int) -> Col
     if not drawn:
         return None
     size = total * row.get(1)
-    n = max(min(-(-size // SORT_BYTES), BYPASS), -(-size // (2 * SORT_BYTES)), min(spark.sparkContext.defaultParallelism, total // (4 * group)))
+    each = min(max(LEAST_BYTES, OWN * group * row.get(1)), SORT_BYTES)
+    n = max(min(-(-size // each), BYPASS), -(-size // (2 * SORT_BYTES)), min(spark.sparkContext.defaultParallelism, total // (4 * group)))
     n = int(min(n, -(-total // group), drawn))
     if n < 2:
         return None

@@ -28,6 +28,24 @@ def shuffled(spark, run):
     return total
 
 
+def most_held(spark, run):
+    """Most bytes that a task of ``run`` holds for sorting at once, and bytes that spill."""
+    sc = spark._jsc.sc()
+    before = sc.dagScheduler().nextStageId()
+    run()
+    sc.listenerBus().waitUntilEmpty()
+    peak = spilled = 0
+    for i in range(before, sc.dagScheduler().nextStageId()):
+        try:
+            stage = sc.statusStore().lastStageAttempt(i)
+        except Exception:  # a stage that never ran
+            continue
+        tasks = sc.statusStore().taskList(i, stage.attemptId(), 1000)
+        peak = max([peak, *(tasks.apply(k).taskMetrics().get().peakExecutionMemory() for k in range(tasks.size()))])
+        spilled += stage.memoryBytesSpilled()
+    return peak, spilled
+
+
 def checkpointed(spark):
     top = spark.sparkContext.getCheckpointDir().removeprefix("file:")
     return sum(len(files) for _, _, files in os.walk(top))
@@ -98,3 +116,13 @@ def test_a_range_of_keys_is_counted_over_rows_that_were_not_checkpointed(spark):
     text = "SELECT count(*) FROM ordered WHERE l_orderkey < 1000"
     assert [engine.sql(text).first()[0] for _ in range(2)] == [rows.where("l_orderkey < 1000").count()] * 2
     assert checkpointed(spark) == before
+
+
+def test_tasks_sort_few_bytes_however_many_there_are(spark):
+    """400 MB in four tasks would hold 200 MB each: an executor with little memory spills them."""
+    rows = spark.range(0, 80_000, 1, 4).select((F.col("id") * 7919 % 80_000).alias("id"), F.expr("repeat(char(97 + id % 26), 5000)").alias("text"))
+    engine = Engine(spark, geometry=SMALL)
+    peak, spilled = most_held(spark, lambda: engine.create_table("ordered", rows, order_by=["id"]))
+    assert peak < 150 << 20 and not spilled
+    ids = engine.sql("SELECT id, rowid FROM ordered").collect()
+    assert len(ids) == 80_000 and all(a == b for a, b in ids)
